@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint
+from . import decontaminate, fingerprint, packing
 from .near_dup import near_duplicates
 
 
@@ -38,8 +38,13 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_by_next(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_fingerprint": op3_fingerprint,
+    "op4_packing": op4_packing,
     "op10_minhash_near_dup": op10_minhash_near_dup,
 }
