@@ -31,6 +31,25 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_
 FROM doc_words d LEFT JOIN hit_words h ON h.doc_id = d.doc_id LEFT JOIN items i ON i.doc_id = d.doc_id
 """
 
+OP5 = """
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), bare AS (
+  SELECT page_id, string_split(string_split(rest, '#')[1], '?')[1] AS rest FROM cut
+), parts AS (
+  SELECT page_id, translate(string_split(rest, '/')[1], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    CASE WHEN instr(rest, '/') > 0 THEN substr(rest, instr(rest, '/')) ELSE '' END AS path FROM bare
+), rules(h, p, v) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), fits AS (
+  SELECT page_id, h || p AS rule, v, row_number() OVER (PARTITION BY page_id
+    ORDER BY len(string_split(h, '.')) DESC, length(p) DESC) AS k
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+)
+SELECT parts.page_id, host, path, rule, coalesce(v, 'allow') AS verdict
+FROM parts LEFT JOIN fits ON fits.page_id = parts.page_id AND k = 1
+"""
+
 OP10 = rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -58,5 +77,6 @@ FROM documents d JOIN least l ON l.x = d.doc_id LEFT JOIN sizes s ON s.doc_id =
 
 ORACLES: dict[str, str] = {
     "op2_decontaminate": OP2,
+    "op5_url_filter": OP5,
     "op10_minhash_near_dup": OP10,
 }
