@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, packing, url_filter
+from . import chat, decontaminate, fingerprint, packing, url_filter
 from .near_dup import near_duplicates
 
 
@@ -22,6 +22,16 @@ def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Fixed value: both texts of conversation -7.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], turns.schema)
+    return chat.read_back(chat.chat_windows(turns.unionByName(more))).withColumnRenamed("conv", "conv_id")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -57,6 +67,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
     "op3_fingerprint": op3_fingerprint,
     "op4_packing": op4_packing,
