@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, packing, url_filter
+from . import chat, decontaminate, fingerprint, packing, url_filter, warc
 from .near_dup import near_duplicates
 
 
@@ -66,11 +66,16 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules).withColumnRenamed("id", "page_id")
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
     "op3_fingerprint": op3_fingerprint,
     "op4_packing": op4_packing,
     "op5_url_filter": op5_url_filter,
+    "op6_warc_derivatives": op6_warc_derivatives,
     "op10_minhash_near_dup": op10_minhash_near_dup,
 }
