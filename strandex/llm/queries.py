@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, packing, url_filter, warc
+from . import chat, decontaminate, fingerprint, language, packing, url_filter, warc
 from .near_dup import near_duplicates
 
 
@@ -70,6 +70,17 @@ def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses(table(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id")
 
 
+def fold(n: int):
+    """The remainder by n of the CRC-32 of the document's id as text; a null id counts as empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.train(docs, fold(3) != 1))
+    return found.withColumnRenamed("id", "doc_id").select("doc_id", (fold(3) == 1).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
@@ -77,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_url_filter": op5_url_filter,
     "op6_warc_derivatives": op6_warc_derivatives,
+    "op9_language_id": op9_language_id,
     "op10_minhash_near_dup": op10_minhash_near_dup,
 }
