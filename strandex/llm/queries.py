@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, language, packing, url_filter, warc
+from . import chat, decontaminate, fingerprint, language, packing, quality, url_filter, warc
 from .near_dup import near_duplicates
 
 
@@ -75,6 +75,12 @@ def fold(n: int):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = quality.score(docs, quality.train(docs, labels, fold(5) != 0))
+    return found.withColumnRenamed("id", "doc_id").select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.train(docs, fold(3) != 1))
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_url_filter": op5_url_filter,
     "op6_warc_derivatives": op6_warc_derivatives,
+    "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
     "op10_minhash_near_dup": op10_minhash_near_dup,
 }
