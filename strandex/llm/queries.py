@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, language, packing, quality, url_filter, warc
+from . import chat, decontaminate, fingerprint, language, packing, quality, substring_dup, url_filter, warc
 from .near_dup import near_duplicates
 
 
@@ -75,6 +75,16 @@ def fold(n: int):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def op7_substring_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both documents of each pair have a row; first marks the one that holds the passage first."""
+    found = substring_dup.repeated_passages(table(spark, sf_dir, "documents"))
+    both = F.array(
+        F.struct(F.col("id").alias("doc_id"), F.col("leader").alias("other_id"), "start", "end", F.col("leader_start").alias("other_start"), F.col("leader_end").alias("other_end"), F.lit(False).alias("first")),
+        F.struct(F.col("leader").alias("doc_id"), F.col("id").alias("other_id"), F.col("leader_start").alias("start"), F.col("leader_end").alias("end"), F.col("start").alias("other_start"), F.col("end").alias("other_end"), F.lit(True).alias("first")),
+    )
+    return found.select(F.explode(both).alias("p"), "identity").select("p.*", "identity")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = quality.score(docs, quality.train(docs, labels, fold(5) != 0))
@@ -94,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_url_filter": op5_url_filter,
     "op6_warc_derivatives": op6_warc_derivatives,
+    "op7_substring_dup": op7_substring_dup,
     "op8_quality": op8_quality,
     "op9_language_id": op9_language_id,
     "op10_minhash_near_dup": op10_minhash_near_dup,
