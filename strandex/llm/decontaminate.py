@@ -9,8 +9,6 @@ is looked for at every word. Documents are scanned once for each block of items
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -111,38 +109,53 @@ def _runs(hit: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(hit & ~np.concatenate(([False], joined))), np.flatnonzero(hit & ~np.concatenate((joined, [False]))) + 1
 
 
-def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, n_words, n_hit, items, spans) for each row of docs.
+#: What a pass adds to the rows: counts of words and hit words, item ids, runs of hit words.
+STATE = ("__words", "__hit", "__items", "__spans")
 
-    items: the ids of items with a window in the text, ascending; spans: the runs of hit words as
-    first and last + 1, flat, words counted from 0. Null and empty texts have no words. Items that
-    repeat an id are joined; items with a null id or no words are passed over. An empty benchmark hits
-    nothing. Each block of items is one pass over the rows, which adds to what the passes before found.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
+
+def with_hits(docs: DataFrame, bench: DataFrame, text_col: str, item_col: str, item_text_col: str, block_bytes: int) -> DataFrame:
+    """docs with the STATE columns. Each block of items is one pass, which adds to what was found before."""
     none = F.array().cast("array<long>")
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), none.alias("items"), none.alias("spans"))
-    passes = list(indexes(bench, item_col, item_text_col, block_bytes))
-    for k, index in enumerate(passes):
-        sent, last = docs.sparkSession.sparkContext.broadcast(index), k + 1 == len(passes)
+    names = docs.columns
+    found = docs.select(*names, F.lit(0).cast("long").alias(STATE[0]), F.lit(0).cast("long").alias(STATE[1]), none.alias(STATE[2]), none.alias(STATE[3]))
+    for k, index in enumerate(indexes(bench, item_col, item_text_col, block_bytes)):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
 
-        def f(b: pa.RecordBatch, sent=sent, first=not k, last=last) -> pa.RecordBatch:
-            w, hit, items = hits(sent.value, b["text"])
+        def f(b: pa.RecordBatch, sent=sent, first=not k) -> pa.RecordBatch:
+            w, hit, items = hits(sent.value, b[text_col])
             if not first:
-                for i, (spans, had) in enumerate(zip(b["spans"].to_pylist(), b["items"].to_pylist(), strict=True)):
+                for i, (spans, had) in enumerate(zip(b[STATE[3]].to_pylist(), b[STATE[2]].to_pylist(), strict=True)):
                     for x, y in zip(spans[::2], spans[1::2], strict=True):
                         hit[w.first[i] + x : w.first[i] + y] = True
                     items[i] = sorted({*items[i], *had})
             start, end = _runs(hit, w.doc)
-            d = w.doc[start]
-            n = len(w.count)
+            d, n = w.doc[start], len(w.count)
             flat = np.stack((start - w.first[d], end - w.first[d]), 1).ravel()
             n_hit = np.bincount(w.doc[hit], minlength=n).astype(np.int64)
-            cols = [b["id"], pa.nulls(n, pa.string()) if last else b["text"], pa.array(w.count), pa.array(n_hit), pa.array(items, pa.list_(pa.int64())), c.list_array(flat, 2 * np.bincount(d, minlength=n), pa.int64())]
-            return pa.RecordBatch.from_arrays(cols, ["id", "text", "n_words", "n_hit", "items", "spans"])
+            cols = [pa.array(w.count), pa.array(n_hit), pa.array(items, pa.list_(pa.int64())), c.list_array(flat, 2 * np.bincount(d, minlength=n), pa.int64())]
+            return pa.RecordBatch.from_arrays([*(b[x] for x in names), *cols], [*names, *STATE])
+
+        found = c.mapped(found, f, found.schema)
+    return found
+
+
+def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, n_words, n_hit, items, spans) for each row of docs.
+
+    items: the ids of items with a window in the text, ascending; spans: the runs of hit words as
+    first and last + 1, flat, words counted from 0. Null and empty texts have no words. Items that
+    repeat an id are joined; items with a null id or no words are passed over. An empty benchmark hits
+    nothing.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = with_hits(texts, bench, "text", item_col, item_text_col, block_bytes)
+    return found.select("id", *(F.col(x).alias(y) for x, y in zip(STATE, ("n_words", "n_hit", "items", "spans"), strict=True)))
+
 
-        found = c.mapped(found, f, f"id {kind}, text string, n_words long, n_hit long, items array<long>, spans array<long>")
-    return found.drop("text")
+def uncontaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, all columns, that are not contaminated."""
+    found = with_hits(docs, bench, text_col, item_col, item_text_col, block_bytes)
+    return found.where(~is_contaminated(F.col(STATE[0]), F.col(STATE[1]))).select(docs.columns)
 
 
 def is_contaminated(n_words, n_hit):
