@@ -15,10 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch; with a few KB a text this keeps a Python worker near 100 MB.
+#: Rows of one Arrow batch.
 BATCH_ROWS = 256
-#: Bytes of text hashed at once; the hashing tables take 16 bytes for each of these.
-WINDOW = 1 << 20
+#: Bytes of text worked on at once; vector operations take up to some 200 bytes for each of these.
+WINDOW = 1 << 18
 
 _M64 = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15
@@ -60,18 +60,39 @@ def scratch(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Applies f to each Arrow batch of df."""
+def sliced(b: pa.RecordBatch, text_col: str = "text") -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about WINDOW bytes of text, a row at least."""
+    if text_col not in b.schema.names:
+        yield b
+        return
+    at = np.cumsum(pc.fill_null(pc.binary_length(b[text_col]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < b.num_rows:
+        j = max(i + 1, int(np.searchsorted(at, (at[i - 1] if i else 0) + WINDOW, "right")))
+        yield b.slice(i, j - i)
+        i = j
+
+
+def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text_col: str = "text") -> DataFrame:
+    """Applies f to the Arrow batches of df, cut so that memory doesn't grow with the texts' length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows and (out := f(b)) is not None:
-                yield out
+            for part in sliced(b, text_col):
+                if (out := f(part)) is not None:
+                    yield out
 
     tune(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, and the offsets of its rows; null counts as empty."""
     col = pc.fill_null(col, "").cast(pa.large_string())
@@ -224,10 +245,6 @@ def winnowed(keys: np.ndarray, doc: np.ndarray, w: int) -> np.ndarray:
     return np.unique(pos.astype(np.int64))
 
 
-def ragged(values: list, kind: pa.DataType) -> pa.Array:
-    return pa.array(values, kind)
-
-
 def list_array(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     """An Arrow list column from flat values and each row's count."""
     off = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)

@@ -109,22 +109,22 @@ def _runs(hit: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(hit & ~np.concatenate(([False], joined))), np.flatnonzero(hit & ~np.concatenate((joined, [False]))) + 1
 
 
-#: What a pass adds to the rows: counts of words and hit words, item ids, runs of hit words.
-STATE = ("__words", "__hit", "__items", "__spans")
+def with_hits(docs: DataFrame, bench: DataFrame, text_col: str, item_col: str, item_text_col: str, block_bytes: int) -> tuple[DataFrame, list[str]]:
+    """docs with four more columns, and their names: counts of words and hit words, item ids, runs of hit words.
 
-
-def with_hits(docs: DataFrame, bench: DataFrame, text_col: str, item_col: str, item_text_col: str, block_bytes: int) -> DataFrame:
-    """docs with the STATE columns. Each block of items is one pass, which adds to what was found before."""
-    none = F.array().cast("array<long>")
+    Each block of items is one pass, which adds to what was found before.
+    """
     names = docs.columns
-    found = docs.select(*names, F.lit(0).cast("long").alias(STATE[0]), F.lit(0).cast("long").alias(STATE[1]), none.alias(STATE[2]), none.alias(STATE[3]))
+    state = [c.unused(docs, x) for x in ("_words", "_hit", "_items", "_spans")]
+    none, zero = F.array().cast("array<long>"), F.lit(0).cast("long")
+    found = docs.select(*names, *(x.alias(y) for x, y in zip((zero, zero, none, none), state, strict=True)))
     for k, index in enumerate(indexes(bench, item_col, item_text_col, block_bytes)):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def f(b: pa.RecordBatch, sent=sent, first=not k) -> pa.RecordBatch:
             w, hit, items = hits(sent.value, b[text_col])
             if not first:
-                for i, (spans, had) in enumerate(zip(b[STATE[3]].to_pylist(), b[STATE[2]].to_pylist(), strict=True)):
+                for i, (spans, had) in enumerate(zip(b[state[3]].to_pylist(), b[state[2]].to_pylist(), strict=True)):
                     for x, y in zip(spans[::2], spans[1::2], strict=True):
                         hit[w.first[i] + x : w.first[i] + y] = True
                     items[i] = sorted({*items[i], *had})
@@ -133,10 +133,10 @@ def with_hits(docs: DataFrame, bench: DataFrame, text_col: str, item_col: str, i
             flat = np.stack((start - w.first[d], end - w.first[d]), 1).ravel()
             n_hit = np.bincount(w.doc[hit], minlength=n).astype(np.int64)
             cols = [pa.array(w.count), pa.array(n_hit), pa.array(items, pa.list_(pa.int64())), c.list_array(flat, 2 * np.bincount(d, minlength=n), pa.int64())]
-            return pa.RecordBatch.from_arrays([*(b[x] for x in names), *cols], [*names, *STATE])
+            return pa.RecordBatch.from_arrays([*(b[x] for x in names), *cols], [*names, *state])
 
-        found = c.mapped(found, f, found.schema)
-    return found
+        found = c.mapped(found, f, found.schema, text_col)
+    return found, state
 
 
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -148,14 +148,14 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     nothing.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = with_hits(texts, bench, "text", item_col, item_text_col, block_bytes)
-    return found.select("id", *(F.col(x).alias(y) for x, y in zip(STATE, ("n_words", "n_hit", "items", "spans"), strict=True)))
+    found, state = with_hits(texts, bench, "text", item_col, item_text_col, block_bytes)
+    return found.select("id", *(F.col(x).alias(y) for x, y in zip(state, ("n_words", "n_hit", "items", "spans"), strict=True)))
 
 
 def uncontaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, all columns, that are not contaminated."""
-    found = with_hits(docs, bench, text_col, item_col, item_text_col, block_bytes)
-    return found.where(~is_contaminated(F.col(STATE[0]), F.col(STATE[1]))).select(docs.columns)
+    found, state = with_hits(docs, bench, text_col, item_col, item_text_col, block_bytes)
+    return found.where(~is_contaminated(F.col(state[0]), F.col(state[1]))).select(docs.columns)
 
 
 def is_contaminated(n_words, n_hit):

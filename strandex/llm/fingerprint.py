@@ -162,10 +162,11 @@ def edited_by_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ahead: list[tuple] = []
         for b in batches:
-            rows = ahead + list(zip(*(col.to_pylist() for col in b.columns), strict=True))
-            if len(rows) > 1:
-                yield digest(rows)
-            ahead = rows[-1:]
+            for part in c.sliced(b):
+                rows = ahead + list(zip(*(col.to_pylist() for col in part.columns), strict=True))
+                if len(rows) > 1:
+                    yield digest(rows)
+                ahead = rows[-1:]
 
     c.tune(docs.sparkSession)
     rows = with_next(docs, id_col, text_col, range_rows)

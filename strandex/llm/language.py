@@ -57,9 +57,10 @@ def gram_counts(points: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _slices(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    for i in range(0, b.num_rows, ROWS):
-        part = b.slice(i, ROWS)
-        yield part, gram_counts(*characters(part["text"]))
+    for whole in c.sliced(b):
+        for i in range(0, whole.num_rows, ROWS):
+            part = whole.slice(i, ROWS)
+            yield part, gram_counts(*characters(part["text"]))
 
 
 @dataclass
@@ -215,4 +216,4 @@ def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text"
         names, scores = _predicted(sent.value, pa.RecordBatch.from_arrays([b[text_col]], ["text"]))
         return b.filter(pa.array((scores >= least) & (np.array(names) != UNKNOWN)))
 
-    return c.mapped(docs, f, docs.schema)
+    return c.mapped(docs, f, docs.schema, text_col)

@@ -16,16 +16,20 @@ def encoder(json_path: str, ranks_path: str, pattern: str, special: str = "<|end
     which the tokenizer file reads as one id, go to the tokenizer itself.
     """
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    slow = Tokenizer.from_file(json_path)
+
+    @lru_cache(maxsize=1)
+    def slow():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(json_path)
 
     def encode(text: str) -> np.ndarray:
         if special in text:
-            return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(slow().encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(fast.encode_ordinary(text), np.uint32)
 
     return encode
