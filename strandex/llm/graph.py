@@ -26,13 +26,14 @@ def components(edges: DataFrame) -> DataFrame:
                 e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
             )
         before = now
-        least = (
+        # written, so that the join below reads plain exchanges and a hub's edges can be split among tasks
+        least = scratch(
             e.select(F.col("a").alias("u"), "b")
             .unionByName(e.select(F.col("b").alias("u"), "b"))
             .groupBy("u")
             .agg(F.min("b").alias("m"))
         )
-        large = e.join(least, e.b == least.u).select("a", F.col("m").alias("b")).distinct()
+        large = e.join(least.hint("merge"), e.b == least.u).select("a", F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         e = scratch(
             large.join(small, "a")
