@@ -239,3 +239,5 @@ def transitions(nodes: DataFrame) -> DataFrame:
     best = reached.groupBy("prefix", "label").agg(F.max_by("target", F.length("target")).alias("target"))
     return wanted.join(best, ["prefix", "label"], "left").select("prefix", "label", F.coalesce("target", F.lit("")).alias("target"))
 
+
+trie_to_tabular_ac = transitions
