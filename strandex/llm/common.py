@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from strandex.runtime import ship
+
 #: Rows of one Arrow batch.
 BATCH_ROWS = 256
 #: Bytes of text worked on at once; vector operations take up to some 200 bytes for each of these.
@@ -27,7 +29,8 @@ _Q = np.uint64(0xD1342543DE82EF95)
 
 
 def tune(spark: SparkSession) -> None:
-    """Bounds the memory of Arrow batches; documents can be long."""
+    """Bounds the memory of Arrow batches, as documents can be long, and sends the package to the workers."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

@@ -209,9 +209,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = real.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     classes = c.scratch(classes)
     held = classes.select("rep", "n", F.explode("bands").alias("band"))
-    lead = held.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("many")).where("many > 1")
+    # written, as total below, so that the joins read plain exchanges and a hot key can be split among tasks
+    lead = c.scratch(held.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("many")).where("many > 1").select("band", "leader"))
     places = c.scratch(held.join(lead.hint("merge"), "band").select("leader", F.col("rep").alias("id"), "n").distinct())
-    total = places.groupBy("leader").agg(F.ceil(F.sum("n") / block).alias("blocks"))
+    total = c.scratch(places.groupBy("leader").agg(F.ceil(F.sum("n") / block).alias("blocks")))
     placed = places.join(total.hint("merge"), "leader").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
     spread = placed.where("id <> leader").select("leader", "block", "id", F.col("id").alias("part"), F.lit(0).alias("focus"))
     leads = total.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("leader").alias("id"), F.col("leader").alias("part"), F.lit(2).alias("focus"))
