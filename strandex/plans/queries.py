@@ -164,8 +164,7 @@ def multi_benchmark_words(spark, sf_dir):
 
 @query
 def multi_count_by_pattern(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select(F.explode(multi.every(F.col(TEXT), PATTERNS)).alias("m"))
-    return found.groupBy(F.col("m.idx").alias("idx")).agg(F.count("*").alias("n"))
+    return multi.counts(table(spark, sf_dir, "documents"), PATTERNS)
 
 
 @query
