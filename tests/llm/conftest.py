@@ -1,5 +1,3 @@
-import datetime  # noqa: F401
-
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest

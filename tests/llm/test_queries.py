@@ -1,7 +1,6 @@
 """Each query against its SQL or against a plain computation, on given, hard and empty tables."""
 
 import hashlib
-import json
 import re
 import zlib
 from collections import defaultdict
@@ -252,5 +251,5 @@ def test_op10_hard(spark, hard):
     assert got == want
 
 
-def test_json_stable():
-    assert json.dumps(sorted(QUERIES)) and {int(re.match(r"op(\d+)_", x)[1]) for x in QUERIES} == set(range(1, 11))
+def test_one_query_an_operator():
+    assert sorted(int(re.match(r"op(\d+)_", x)[1]) for x in QUERIES) == list(range(1, 11))
