@@ -27,15 +27,18 @@ def numbered(patterns: list[str]) -> dict[str, int]:
 
 
 def first(text: Column, patterns: list[str]) -> Column:
-    """Struct (start, idx) of the first match, NULL if there is none."""
-    options = []
-    for p, i in numbered(patterns).items():
-        at = single.position(text, p)
-        options.append(F.when(at.isNotNull(), F.struct((at + len(p)).alias("end"), at.alias("start"), F.lit(i).cast("bigint").alias("idx"))))
-    if not options:
+    """Struct (start, idx) of the first match, NULL if there is none. Each pattern is looked for once a text."""
+    known = numbered(patterns)
+    if not known:
         return F.lit(None).cast("struct<start:bigint,idx:bigint>")
-    best = F.array_min(F.array_compact(F.array(*options)))
-    return F.when(best.isNotNull(), F.struct(best["start"].alias("start"), best["idx"].alias("idx")))
+    table = F.array(*(F.struct(F.lit(p).alias("pat"), F.lit(len(p)).alias("size"), F.lit(i).cast("bigint").alias("idx")) for p, i in known.items()))
+    found = F.transform(table, lambda k: F.struct(F.call_function("instr", text, k["pat"]).alias("at"), k["size"].alias("size"), k["idx"].alias("idx")))
+    ends = F.transform(
+        F.filter(found, lambda m: m["at"] > 0),
+        lambda m: F.struct((m["at"] + m["size"]).alias("end"), (m["at"] - 1).cast("bigint").alias("start"), m["idx"].alias("idx")),
+    )
+    best = F.transform(F.array(F.array_min(ends)), lambda m: F.when(m.isNotNull(), F.struct(m["start"].alias("start"), m["idx"].alias("idx"))))
+    return F.get(best, F.lit(0))
 
 
 def any_of(text: Column, patterns: list[str]) -> Column:
