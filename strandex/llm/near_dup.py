@@ -10,8 +10,10 @@
    hold every candidate pair, in as many rows as there are distinct (document, leader) pairs.
 4. In each group the exact similarity on full sets joins members to the leader; the rest (those
    outside the leader's part) are compared exactly with all members. Only links that join two
-   parts are emitted. Groups beyond BLOCK shingles are dealt over blocks, each with the leader; what
-   is left apart is then compared with every other block. No pair is skipped that shares a bucket.
+   parts are emitted. Large groups are dealt over blocks, each with the leader; what is left apart is
+   then compared with every other block. No pair is skipped that shares a bucket. A block's size grows
+   with the root of its group's, between BLOCK's bounds, so that neither a block nor the number of blocks
+   that a document meets grows with the group alone.
 5. Components by distributed star rounds.
 
 Joins that grow with the input are merge joins at every size, so small inputs run the large one's plan.
@@ -32,8 +34,8 @@ from . import common as c
 from .graph import components
 
 SLOTS, BANDS = 128, 32
-#: Shingles compared in one block.
-BLOCK = 1_000_000
+#: Shingles compared in one block, at least and at most.
+BLOCK = 64_000, 1_000_000
 
 
 def shingle_sets(col: pa.Array, k: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +198,7 @@ def _with_sets(docs: DataFrame, places: DataFrame, k: int, table: np.ndarray) ->
     )
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 80, den: int = 100, table: np.ndarray = c.SPACED, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 80, den: int = 100, table: np.ndarray = c.SPACED, block: tuple[int, int] = BLOCK) -> DataFrame:
     """(id, n_shingles, component) for each row of docs.
 
     Words are lower-cased (A-Z) runs split by table. Null and empty texts have no shingles and are linked
@@ -212,25 +214,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # written, as total below, so that the joins read plain exchanges and a hot key can be split among tasks
     lead = c.scratch(held.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("many")).where("many > 1").select("band", "leader"))
     places = c.scratch(held.join(lead.hint("merge"), "band").select("leader", F.col("rep").alias("id"), "n").distinct())
-    total = c.scratch(places.groupBy("leader").agg(F.ceil(F.sum("n") / block).alias("blocks")))
+    many = F.sum("n")
+    size = F.greatest(F.lit(block[0]), F.least(F.lit(block[1]), 100 * F.sqrt(many)))
+    total = c.scratch(places.groupBy("leader").agg(F.ceil(many / size).alias("blocks")))
     placed = places.join(total.hint("merge"), "leader").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
     spread = placed.where("id <> leader").select("leader", "block", "id", F.col("id").alias("part"), F.lit(0).alias("focus"))
     leads = total.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("leader").alias("id"), F.col("leader").alias("part"), F.lit(2).alias("focus"))
     firsts = texts.where("id is not null")
-    links = c.scratch(_verified(_with_sets(firsts, spread.unionByName(leads), k, table), num, den))
+    rows = c.scratch(_with_sets(firsts, spread.unionByName(leads), k, table))
+    links = c.scratch(_verified(rows, num, den))
     copies = real.join(classes.select("n", "s1", "s2", "rep").hint("merge"), ["n", "s1", "s2"])
     same = copies.select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
 
     if not total.where("blocks > 1").isEmpty():
-        # groups over several blocks: what isn't in the largest part meets every block
-        part = components(links)
-        rows = placed.where("blocks > 1").join(part, "id", "left").withColumn("part", F.coalesce("component", "id"))
-        parts = rows.groupBy("leader", "part").agg(F.count("*").alias("many"))
-        main = parts.groupBy("leader").agg(F.max_by("part", F.struct("many", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        rows = rows.join(main, "leader")
-        every = rows.select("leader", "block", "id", "part", F.lit(0).alias("focus"))
-        rest = rows.where("part <> main").select("leader", F.explode(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block"))).alias("block"), "id", "part", F.lit(1).alias("focus"))
-        links = links.unionByName(c.scratch(_verified(_with_sets(firsts, every.unionByName(rest), k, table), num, den)))
+        # groups over several blocks, but for their leaders, who have met all: what isn't in the largest part meets every block
+        large = total.where("blocks > 1").hint("merge")
+        held = rows.where("focus = 0").drop("part", "focus").join(large, "leader").join(components(links).hint("merge"), "id", "left")
+        held = c.scratch(held.withColumn("part", F.coalesce("component", "id")).drop("component"))
+        parts = held.groupBy("leader", "part").agg(F.count("*").alias("many"))
+        main = c.scratch(parts.groupBy("leader").agg(F.max_by("part", F.struct("many", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts"))
+        held = held.join(main.hint("merge"), "leader")
+        every = held.select("leader", "block", "id", "part", F.lit(0).alias("focus"), "shingles")
+        others = F.array_remove(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), F.col("block"))
+        rest = held.where("part <> main").select("leader", F.explode(others).alias("block"), "id", "part", F.lit(1).alias("focus"), "shingles")
+        links = links.unionByName(c.scratch(_verified(every.unionByName(rest), num, den)))
 
     group = components(links.unionByName(same))
     return found.join(group.hint("merge"), "id", "left").select(
