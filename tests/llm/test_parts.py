@@ -99,7 +99,7 @@ def test_blocks_find_all_links(spark):
             w[k] = f"x{rng.randrange(10**6)}"
         rows.append((i, " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    one, many = (sorted(map(tuple, near_dup.near_duplicates(docs, block=n).collect())) for n in (10**6, 400))
+    one, many = (sorted(map(tuple, near_dup.near_duplicates(docs, block=(n, n)).collect())) for n in (10**6, 400))
     sets = [{tuple(t.split()[k : k + 4]) for k in range(57)} for _, t in rows]
     part = list(range(120))
     for i in range(120):
@@ -262,6 +262,25 @@ def test_fuzzy_passage(spark):
     assert len(kept[2]["text"].split()) == 55 and kept[2]["n_chars"] == len(kept[2]["text"])
 
 
+def test_chain_is_cut_at_its_gap():
+    """Two exact passages with much between them in one text are two passages, not one poor one."""
+    a, b = np.arange(100, 186), np.arange(200, 250)
+    own = np.concatenate((np.arange(68), a, np.arange(300, 392), b)).astype("<u4")
+    there = np.concatenate((a, np.arange(500, 521), b)).astype("<u4")
+    found = sorted(substring_dup.passages(own, substring_dup.Target(there)))
+    assert [x[:4] for x in found] == [(68, 154, 0, 86), (246, 296, 107, 157)] and all(x[4] == 1 for x in found)
+
+
+def test_passages_repeated_inside(spark):
+    """Every place of a passage that a document holds more than once is found."""
+    rng = random.Random(8)
+    body = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    p, q = body(60), body(60)
+    docs = [(1, p + q), (2, p + body(9) + p + q), (3, body(100))]
+    found = substring_dup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")).collect()
+    assert sorted((r["id"], r["leader"], r["start"], r["end"]) for r in found) == [(2, 1, 0, 60), (2, 1, 69, 189)]
+
+
 def test_matched():
     assert substring_dup.matched(np.array([1, 2, 3, 4]), np.array([2, 9, 4])) == 2
     assert substring_dup.matched(np.array([1]), np.array([2])) == 0
