@@ -271,6 +271,26 @@ def test_chain_is_cut_at_its_gap():
     assert [x[:4] for x in found] == [(68, 154, 0, 86), (246, 296, 107, 157)] and all(x[4] == 1 for x in found)
 
 
+def test_runs_at_every_place():
+    """A passage whose opening words the leader holds earlier too; all maximal runs against brute force."""
+    h, x1, x2 = np.arange(20), np.arange(100, 140), np.arange(200, 240)
+    there = np.concatenate((h, x1, h, x2)).astype("<u4")
+    found = substring_dup.passages(np.concatenate((h, x2)).astype("<u4"), substring_dup.Target(there))
+    assert found == [(0, 60, 60, 120, 1.0)]
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        own, there = (rng.integers(0, 3, rng.integers(0, 50)).astype("<u4") for _ in range(2))
+        equal = {(i, j) for i in range(len(own)) for j in range(len(there)) if own[i] == there[j]}
+        want = set()
+        for i, j in equal:
+            n = next(n for n in range(99) if (i + n, j + n) not in equal)
+            if (i - 1, j - 1) not in equal and n >= substring_dup.ALIGN_K:
+                want |= {(i + k, j + k) for k in range(n)}
+        runs = substring_dup.Target(there).runs(own)
+        parts = [(i + k, j + k) for i, j, n in runs for k in range(n)]
+        assert len(parts) == len(set(parts)) and set(parts) == want
+
+
 def test_passages_repeated_inside(spark):
     """Every place of a passage that a document holds more than once is found."""
     rng = random.Random(8)
