@@ -291,6 +291,18 @@ def test_runs_at_every_place():
         assert len(parts) == len(set(parts)) and set(parts) == want
 
 
+def test_passage_whose_parts_others_lead(spark):
+    """Two documents share 60 words; two earlier ones quote less than a passage of them each. Ten such groups."""
+    rng = random.Random(9)
+    body = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    docs = []
+    for k in range(10, 110, 10):
+        p = body(60)
+        docs += [(k + 1, body(20) + p[:35] + body(20)), (k + 2, body(20) + p[27:] + body(20)), (k + 3, body(30) + p + body(10)), (k + 4, body(5) + p + body(40))]
+    found = substring_dup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")).collect()
+    assert sorted((r["id"], r["leader"], r["start"], r["end"], r["leader_start"]) for r in found) == [(k + 4, k + 3, 5, 65, 30) for k in range(10, 110, 10)]
+
+
 def test_passages_repeated_inside(spark):
     """Every place of a passage that a document holds more than once is found."""
     rng = random.Random(8)
