@@ -13,7 +13,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from strandex.runtime import ship
 
@@ -26,6 +29,8 @@ _M64 = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
 _Q = np.uint64(0xD1342543DE82EF95)
+#: The first 0 to 8 of eight bytes.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def tune(spark: SparkSession) -> None:
@@ -89,6 +94,13 @@ def mapped(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None],
     return df.mapInArrow(run, schema)
 
 
+def id_column(df: DataFrame, name: str) -> tuple[Column, str, pa.DataType]:
+    """An id column, its type's name in Spark, and its type in Arrow. Whole numbers become long; other types stay."""
+    kind = df.schema[name].dataType
+    kind = T.LongType() if isinstance(kind, T.IntegralType) else kind
+    return F.col(name).cast(kind), kind.simpleString(), to_arrow_type(kind)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     while name in df.columns:
@@ -195,8 +207,7 @@ class Words:
         after[-1], after[:-1] = False, inside[1:]
         after[edge[np.searchsorted(edge, at, "right") : np.searchsorted(edge, at + len(raw), "right")] - at - 1] = False
         end = np.flatnonzero(inside & ~after) + 1
-        s = prefix_hashes(BYTE_VALUE[x])
-        return start + at, end + at, mix((s[end] - s[start]) * powers(len(raw) + 1)[1][start] + (end - start).astype(np.uint64))
+        return start + at, end + at, spelled(x, start, end)
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of k words, and which of them lie within one row."""
@@ -206,13 +217,40 @@ class Words:
         return gram_hashes(self.hash, k), self.doc[:n] == self.doc[k - 1 :]
 
 
+def spelled(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte runs x[start:end], none of which holds a 0.
+
+    Each 8 bytes are scrambled with their place, and what they give is summed. Equal sums need values that
+    cancel by chance: unlike a polynomial's, they have no regular texts that collide. Runs of up to 8 bytes and equal
+    length never collide.
+    """
+    padded = np.concatenate((x, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(x) + 1, "<u8", padded, strides=(1,))
+    size = end - start
+    h = mix(mix(eight[start] & _LOW[np.minimum(size, 8)]) + np.uint64(_P))
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) // 8
+        first = np.cumsum(more) - more
+        own = np.repeat(long, more)
+        k = np.arange(1, len(own) + 1) - np.repeat(first, more)
+        at = start[own] + 8 * k
+        parts = mix(mix(eight[at] & _LOW[np.minimum(end[own] - at, 8)]) + np.uint64(_P) * (k + 1).astype(np.uint64))
+        h[long] += np.add.reduceat(parts, first)
+    return mix(h + size.astype(np.uint64))
+
+
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    n = len(h) - k + 1
-    g = h[:n].copy()
-    for j in range(1, k):
-        g *= _Q
-        g += h[j : n + j]
-    return mix(g)
+    """Hashes of all runs of k values, put together from those of runs of 1, 2, 4, .. values."""
+    n, size, taken, g = len(h) - k + 1, 1, 0, None
+    while size <= k:
+        if k & size:
+            own = h[taken : taken + n]
+            g, taken = own if g is None else mix(g * _Q + own), taken + size
+        size *= 2
+        if size <= k:
+            h = mix(h[: len(h) - size // 2] * _Q + h[size // 2 :])
+    return mix(g + np.uint64(k))
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
