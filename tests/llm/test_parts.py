@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strandex.llm import chat, common, decontaminate, fingerprint, language, near_dup, packing, quality, substring_dup, url_filter, warc
 from strandex.llm.graph import components
+from tests.llm.conftest import thue_morse
 
 texts = st.lists(st.one_of(st.none(), st.text(alphabet="abAB \n.é\u4e2d0", max_size=60)), min_size=1, max_size=8)
 
@@ -33,6 +34,17 @@ def test_words(rows, window):
     assert len(set(by.values())) == len(by)
 
 
+def test_hashes_of_regular_texts():
+    for n in (64, 1024, 4096, 65536):
+        for parts, table in ((("a", "b"), common.ALNUM), (("abcdefgh", "ijklmnop"), common.SPACED), (("a ", "b "), common.SPACED)):
+            x, y = (common.Words(*common.text_bytes(pa.array([t])), table).hash for t in thue_morse(n, *parts))
+            assert common.gram_hashes(x, len(x))[0] != common.gram_hashes(y, len(y))[0]
+    h = np.random.default_rng(0).integers(0, 2**63, 90).astype(np.uint64)
+    for k in range(1, 50):
+        g = common.gram_hashes(h, k)
+        assert len(g) == 91 - k and all(g[i] == common.gram_hashes(h[i : i + k], k)[0] for i in (0, 7, 90 - k))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 5), max_size=60), st.integers(1, 9), st.integers(1, 4))
 def test_winnowed(keys, w, rows):
@@ -110,6 +122,50 @@ def test_blocks_find_all_links(spark):
     assert [r[2] for r in one] == part and one == many and 1 < len(set(part)) < 120
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.randoms(use_true_random=False), st.integers(0, 1), st.sampled_from([(80, 100), (1, 2), (95, 100)]))
+def test_join_parts(rng, led, share):
+    """The parts that links make, against all pairs: with a leader only its group's rest is compared."""
+    num, den = share
+    base = rng.sample(range(1000), 12)
+    sets = [np.array(sorted({*rng.sample(base, rng.randrange(1, 13)), *rng.sample(range(40), rng.randrange(4))}), np.uint64) for _ in range(rng.randrange(2, 14))]
+    n = len(sets)
+    focus = np.array([rng.random() < 0.5 for _ in range(n)])
+    linked = {(i, j) for i in range(n) for j in range(n) if i != j and den * len({*sets[i].tolist()} & {*sets[j].tolist()}) >= num * len({*sets[i].tolist()} | {*sets[j].tolist()})}
+    if led:
+        focus = np.array([(0, i) not in linked and i > 0 for i in range(n)])
+    edges = {(i, j) for i, j in linked if focus[i] or focus[j] or (led and 0 in (i, j))}
+    got = near_dup.join_parts(sets, np.arange(n), focus, 0 if led else None, num, den)
+    assert {*got} <= linked
+
+    def parts(edges):
+        part = list(range(n))
+        for i, j in edges:
+            part = [min(part[i], part[j]) if p in (part[i], part[j]) else p for p in part]
+        return part
+
+    assert parts(got) == parts(edges)
+
+
+def test_group_of_unlinked(spark, monkeypatch):
+    """A group whose documents are all 0.71 alike: no task gets more than a block, and none of it is compared again."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    base = [word() for _ in range(300)]
+    docs = spark.createDataFrame([(f"d{i}", " ".join(base + [word() for _ in range(50)])) for i in range(200)], "doc_id string, text string")
+    seen, verified = [], near_dup._verified
+
+    def spy(rows, *rest):
+        own = rows.groupBy("leader", "block").agg(F.sum(F.length("shingles") / 8).alias("n")).agg(F.count("*"), F.max("n")).first()
+        seen.append(tuple(own))
+        return verified(rows, *rest)
+
+    monkeypatch.setattr(near_dup, "_verified", spy)
+    found = near_dup.near_duplicates(docs, block=(6000, 6000)).collect()
+    assert {r["component"] for r in found} == {f"d{i}" for i in range(200)}
+    assert len(seen) == 2 and seen[0][0] > 10 and seen[0][1] < 2 * 6000 and seen[1] == (0, None)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(400 + i, 401 + i) for i in range(40)]
