@@ -286,6 +286,24 @@ def winnowed(keys: np.ndarray, doc: np.ndarray, w: int) -> np.ndarray:
     return np.unique(pos.astype(np.int64))
 
 
+def mod_sampled(g: np.ndarray, doc: np.ndarray, t: int, k: int, w: int) -> np.ndarray:
+    """Starts of k-word grams that mod-sampling selects in each row, one at least in any k + w - 1 words.
+
+    g: 32-bit hashes of the t-word grams; doc: the row of each word, ascending; t is k modulo w. In each window of
+    k + w - 1 words the least t-gram is found, the rightmost of equal ones, and its place modulo w is taken. Equal windows
+    take the same place. For k much over w that selects about one place in w, where winnowing takes two in w + 1.
+    """
+    span = k + w - 1
+    n = len(doc) - span + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    low = np.uint64(0xFFFFFFFF)
+    key = (g.astype(np.uint64) << np.uint64(32)) | (low - np.arange(len(g), dtype=np.uint64))
+    least = (low - (sliding_min(key, span - t + 1)[:n] & low)).astype(np.int64)
+    start = np.arange(n)
+    return np.unique((start + (least - start) % w)[doc[:n] == doc[span - 1 :]])
+
+
 def list_array(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     """An Arrow list column from flat values and each row's count."""
     off = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)

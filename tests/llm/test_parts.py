@@ -60,6 +60,21 @@ def test_winnowed(keys, w, rows):
     assert got.tolist() == sorted(want)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=60), st.integers(1, 3))
+def test_mod_sampled(words, rows):
+    t, k, w = 3, 7, 4
+    doc = np.sort(np.arange(len(words)) % rows)
+    h = np.array(words, np.uint64)
+    g = common.gram_hashes(h, t) >> np.uint64(32) if len(h) >= t else h[:0]
+    got, want = common.mod_sampled(g.astype(np.uint32), doc, t, k, w), set()
+    for i in range(len(words) - k - w + 2):
+        if doc[i] == doc[i + k + w - 2]:
+            least = min(g[i : i + k + w - t])
+            want.add(i + max(j for j in range(k + w - t) if g[i + j] == least) % w)
+    assert got.tolist() == sorted(want)
+
+
 def test_winnowing_guarantee():
     rng = np.random.default_rng(0)
     shared = rng.integers(0, 256, fingerprint.K + fingerprint.W - 1).astype(np.uint8)
