@@ -384,6 +384,28 @@ def test_passages_repeated_inside(spark):
     assert sorted((r["id"], r["leader"], r["start"], r["end"]) for r in found) == [(2, 1, 0, 60), (2, 1, 69, 189)]
 
 
+def test_recall_by_edits(spark):
+    """Passages of 60 and 100 words between random words, one word in so many changed: how many documents are found."""
+    rng = random.Random(12)
+    body = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    docs, groups = [], {}
+    for words in (60, 100):
+        for every in (8, 10, 15, 1000):
+            for _ in range(50):
+                p = body(words)
+                q, first = list(p), rng.randrange(every)
+                for k in range(first, words, every):
+                    q[k] = body(1)[0]
+                i = len(docs)
+                docs += [(i, " ".join(body(40) + p + body(30))), (i + 1, " ".join(body(10) + q + body(60)))]
+                groups.setdefault((words, every), []).append(i + 1)
+    found = {r["id"]: r["leader"] for r in substring_dup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(leader == i - 1 for i, leader in found.items())
+    share = {k: np.mean([i in found for i in own]) for k, own in groups.items()}
+    least = {(60, 8): 0.7, (60, 10): 0.8, (60, 15): 0.9, (60, 1000): 1, (100, 8): 0.85, (100, 10): 0.9, (100, 15): 0.95, (100, 1000): 1}
+    assert all(share[k] >= least[k] for k in least), share
+
+
 def test_matched():
     assert substring_dup.matched(np.array([1, 2, 3, 4]), np.array([2, 9, 4])) == 2
     assert substring_dup.matched(np.array([1]), np.array([2])) == 0
