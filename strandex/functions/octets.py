@@ -108,19 +108,30 @@ def equal(a: Column, b: Column, **bounds: int) -> Column:
     return x == y
 
 
-def compare(op: str, a: Column, b: Column) -> Column:
-    """For <, >, <=, >= or !=: the index of the first difference if the comparison holds, else NULL.
+def compare(op: str, a: Column, b: Column, start1: int = 0, end1: int | None = None, start2: int = 0, end2: int | None = None) -> Column:
+    """For <, >, <=, >= or != of two slices: the index in a of the first difference if the comparison holds, else NULL.
 
-    Equal strings give the length for <= and >=.
+    Equal slices give the end of a's for <= and >=.
     """
-    holds = {"<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b, "!=": a != b}[op]
-    at = F.coalesce(mismatch(a, b), F.length(a).cast("bigint"))
-    return F.when(holds, at)
+    x, y = subseq(a, start1, end1), subseq(b, start2, end2)
+    holds = {"<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y, "!=": x != y}[op]
+    at = F.coalesce(mismatch(x, y), F.length(x).cast("bigint"))
+    return F.when(holds, at + start1)
 
 
-def compare_folded(op: str, a: Column, b: Column) -> Column:
+def compare_folded(op: str, a: Column, b: Column, **bounds: int) -> Column:
     """compare() without regard to ASCII case."""
-    return compare(op, downcase(a), downcase(b))
+    return compare(op, downcase(a), downcase(b), **bounds)
+
+
+def compare_chars(op: str, a: Column, *more: Column) -> Column:
+    """Whether =, /=, <, >, <= or >= holds between each character and the next; /= between all of them."""
+    all_of = [a, *more]
+    pairs = [(x, y) for i, x in enumerate(all_of) for y in all_of[i + 1 :]] if op == "/=" else list(zip(all_of, more, strict=False))
+    out = F.lit(True)
+    for x, y in pairs:
+        out = out & {"=": x == y, "/=": x != y, "<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[op]
+    return out
 
 
 def trim(bag: str, text: Column, side: str = "both") -> Column:

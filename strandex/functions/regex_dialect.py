@@ -17,6 +17,7 @@ Counted repeats, back references and lookaround don't exist; braces and backslas
 from __future__ import annotations
 
 from functools import lru_cache
+from typing import NamedTuple
 
 #: What each class holds, as the inside of a Java character set.
 CLASSES = {
@@ -48,9 +49,23 @@ def _class(char: str) -> tuple[str, bool] | None:
     return (inside, char.isupper()) if inside else None
 
 
+class Re(NamedTuple):
+    """A compiled pattern.
+
+    long_loops: Java would recurse once for each turn of a group's loop, and long texts end its stack. anywhere: what is
+    found in the same texts, but without the repeats at the ends, so that no run is scanned once for each of its characters.
+    """
+
+    pattern: str
+    java: str
+    groups: int
+    long_loops: bool
+    anywhere: str
+
+
 class _Reader:
     def __init__(self, pattern: str):
-        self.pattern, self.at, self.groups = pattern, 0, 0
+        self.pattern, self.at, self.groups, self.long_loops = pattern, 0, 0, False
 
     def peek(self) -> str:
         return self.pattern[self.at : self.at + 1]
@@ -61,55 +76,69 @@ class _Reader:
         self.at += 1
         return self.pattern[self.at - 1]
 
-    def choice(self, depth: int) -> str:
-        """Alternatives up to a closing parenthesis or the end."""
-        out = []
+    def choice(self, depth: int) -> tuple[str, bool]:
+        """Alternatives up to a closing parenthesis or the end, and whether all they match has one length without a choice.
+
+        Alternatives of one character each become one set.
+        """
+        branches: list[list[tuple[str, str]]] = [[]]
+        plain: list[list[tuple[str, str]]] = [[]]
         while self.peek() and not (self.peek() == ")" and depth):
             if self.peek() == "|":
-                out.append(self.take())
+                self.take()
+                branches.append([])
+                plain.append([])
                 continue
-            atom = self.atom(depth)
+            atom, kind = self.atom(depth)
+            plain[-1].append((atom, self.peek() if self.peek() in QUANTIFIERS else ""))
             if self.peek() in QUANTIFIERS and self.peek():
-                atom += QUANTIFIERS[self.take()]
+                self.long_loops |= kind == "free" and self.peek() != "?"
+                atom, kind = atom + QUANTIFIERS[self.take()], "varied"
                 if self.peek() in QUANTIFIERS and self.peek():
                     raise ValueError(f"two quantifiers in a row: {self.pattern!r}")
-            out.append(atom)
-        return "".join(out)
-
-    def atom(self, depth: int) -> str:
+            branches[-1].append((atom, kind))
+        self.anywhere = "|".join(map(_without_ends, plain))  # of the outermost in the end
+        if len(branches) > 1 and all(len(x) == 1 and x[0][1] == "one" for x in branches):
+            return f"[{''.join(x[0][0] for x in branches)}]", True
+        fixed = len(branches) == 1 and all(kind in ("one", "fixed") for _, kind in branches[0])
+        return "|".join("".join(atom for atom, _ in x) for x in branches), fixed
+
+    def atom(self, depth: int) -> tuple[str, str]:
+        """An atom and its kind: one character, a fixed length, a free group, or what no loop repeats or varies."""
         first = self.at == 0
         c = self.take()
         if c == "%":
             return self.escaped()
         if c == "[":
-            return self.charset()
+            found = self.charset()
+            return found, "varied" if found == "(?!)" else "one"
         if c == "(":
             capture = self.peek() != "?"
             if capture:
                 self.groups += 1
             else:
                 self.take()
-            inner = self.choice(depth + 1)
+            inner, fixed = self.choice(depth + 1)
             if self.peek() != ")":
                 raise ValueError(f"group is not closed: {self.pattern!r}")
             self.take()
-            return f"({inner})" if capture else f"(?:{inner})"
+            return f"({inner})" if capture else f"(?:{inner})", "fixed" if fixed else "free"
         if c == ".":
-            return "[\\s\\S]"
+            return "[\\s\\S]", "one"
         if c == "^" and first:
-            return "\\A"
+            return "\\A", "varied"
         if c == "$" and self.at == len(self.pattern):
-            return "\\z"
+            return "\\z", "varied"
         if c in ")]?*+-":
             raise ValueError(f"misplaced {c}: {self.pattern!r}")
-        return literal(c)
+        return literal(c), "one"
 
-    def escaped(self) -> str:
+    def escaped(self) -> tuple[str, str]:
         c = self.take()
         if c == "b":
-            return f"(?:{literal(self.take())}[\\s\\S]*?{literal(self.take())})"
+            return f"(?:{literal(self.take())}[\\s\\S]*?{literal(self.take())})", "free"
         found = _class(c)
-        return f"[{'^' * found[1]}{found[0]}]" if found else literal(c)
+        return f"[{'^' * found[1]}{found[0]}]" if found else literal(c), "one"
 
     def charset(self) -> str:
         out, negated = [], self.peek() == "^"
@@ -144,19 +173,30 @@ class _Reader:
         return f"[{'^' * negated}{inside}]"
 
 
+def _without_ends(atoms: list[tuple[str, str]]) -> str:
+    """Atoms and their quantifiers, without what repeats or may be missing at both ends."""
+    atoms = list(atoms)
+    for end in (0, -1):
+        while atoms and atoms[end][1] in ("?", "*") and atoms[end][1]:
+            atoms.pop(end)
+        if atoms and atoms[end][1]:
+            atoms[end] = atoms[end][0], ""
+    return "".join(atom + (QUANTIFIERS[q] if q else "") for atom, q in atoms)
+
+
 @lru_cache(maxsize=256)
-def translate(pattern: str) -> tuple[str, int]:
-    """(Java regular expression, number of groups); ValueError for what the dialect doesn't allow."""
+def _compiled(pattern: str) -> Re:
     if not pattern:
         raise ValueError("empty pattern")
     r = _Reader(pattern)
-    java = r.choice(0)
-    return java, r.groups
+    java, _ = r.choice(0)
+    return Re(pattern, java, r.groups, r.long_loops, r.anywhere)
 
 
-def group_count(pattern: str) -> int:
-    return translate(pattern)[1]
+def compile_re(pattern: str | Re) -> Re:
+    """The compiled form, which every function takes in place of a pattern; ValueError for what the dialect doesn't allow."""
+    return pattern if isinstance(pattern, Re) else _compiled(pattern)
 
 
-def compile_re(pattern: str) -> str:
-    return translate(pattern)[0]
+def group_count(pattern: str | Re) -> int:
+    return compile_re(pattern).groups

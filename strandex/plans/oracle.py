@@ -118,6 +118,15 @@ ORACLES: dict[str, str] = {
     "re_match_start": r"SELECT doc_id, CASE WHEN regexp_matches(text, '^[\p{Lu}]') THEN regexp_extract(text, '^[\p{Lu}][\p{Ll}]*') END AS m FROM documents",
     "re_match_exact": "SELECT p_partkey, CASE WHEN regexp_full_match(p_brand, 'Brand#[0-9]|Brand#[0-9][0-9]') THEN p_brand END AS brand FROM part",
     "re_find_all": r"SELECT doc_id, i - 1 AS k, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\p{Lu}][\p{Ll}]+ing') AS w FROM documents))",
+    "re_find_all_groups": """WITH w AS (SELECT page_id, substring(html, 6, 1995) AS t FROM pages),
+  p AS (SELECT page_id, regexp_extract_all(t, '<([\\p{L}]+)([^>]*)>') AS m, regexp_extract_all(t, '<([\\p{L}]+)([^>]*)>', 1) AS g, regexp_extract_all(t, '<([\\p{L}]+)([^>]*)>', 2) AS r, regexp_split_to_array(t, '<([\\p{L}]+)([^>]*)>') AS s FROM w),
+  x AS (SELECT page_id, i, m[i] AS "match", g[i] AS tag, r[i] AS rest, length(s[i]) AS gap FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM p)),
+  y AS (SELECT *, sum(gap + length("match")) OVER (PARTITION BY page_id ORDER BY i) AS e FROM x)
+  SELECT page_id, i - 1 AS k, "match", tag, rest, CAST(5 + e - length("match") AS BIGINT) AS start, CAST(5 + e AS BIGINT) AS "end" FROM y""",
+    "re_split_window": r"SELECT doc_id, array_to_string(regexp_split_to_array(substring(text, 11, 80), '[ \t\r\n]+'), '|') AS pieces FROM documents",
+    "re_replace_window": r"SELECT doc_id, md5(substring(text, 1, 10) || regexp_replace(substring(text, 11, 80), '[\p{L}]+', '<*>', 'g') || substring(text, 91)) AS said FROM documents",
+    "re_long_loops": r"""SELECT doc_id, CASE WHEN m <> '' THEN s END AS start, CASE WHEN m <> '' THEN s + length(m) END AS "end"
+  FROM (SELECT doc_id, regexp_extract(text, '(?:[\p{L}]+[ \t\r\n])+') AS m, CAST(length(regexp_extract(text, '^((?s:.)*?)[\p{L}]+[ \t\r\n]', 1)) AS BIGINT) AS s FROM documents)""",
     "re_groups_url": f"SELECT page_id, regexp_extract(url, '{_URL}', 1) AS scheme, regexp_extract(url, '{_URL}', 2) AS host, regexp_extract(url, '{_URL}', 3) AS path FROM pages",
     "re_with_match": f"SELECT page_id, CASE WHEN regexp_matches(url, '{_URL}') THEN regexp_extract(url, '{_URL}', 2) || ' by ' || regexp_extract(url, '{_URL}', 1) ELSE 'none' END AS said FROM pages",
     "re_boundary": "SELECT page_id, CAST(len(regexp_extract_all(html, '<(?s:.)*?>')) AS BIGINT) AS tags FROM pages",
@@ -138,6 +147,8 @@ ORACLES: dict[str, str] = {
     "scanf_radix": "SELECT p_partkey, CAST(p_partkey AS BIGINT) AS hex, CAST(p_partkey AS BIGINT) AS oct FROM part",
     "scanf_partial": "SELECT p_partkey, nullif(regexp_extract(p_name, '^[a-z]+'), '') AS colour, CASE WHEN regexp_matches(p_name, '^[a-z]+ *wid') THEN regexp_extract(p_name, '^[a-z]+ *wid([^ ]*)', 1) END AS rest, regexp_matches(p_name, '^[a-z]+ *wid') AS matched FROM part",
     "ub_compare_index": f"SELECT p_partkey, {_order('<>')} AS ne, {_order('<')} AS lt, {_order('>')} AS gt, {_order('<=')} AS le, {_order('>=')} AS ge FROM (SELECT p_partkey, p_name, {_mismatch('p_name', chr(39) + 'red widget' + chr(39))} AS m FROM part)",
+    "ub_compare_slices": "SELECT p_partkey, " + ", ".join(f"CASE WHEN substring(p_name, 2, 4) {op} 'ed w' THEN CAST(1 + coalesce({_mismatch('substring(p_name, 2, 4)', chr(39) + 'ed w' + chr(39))}, 4) AS BIGINT) END AS {n}" for n, op in (("ne", "<>"), ("lt", "<"), ("gt", ">"), ("le", "<="), ("ge", ">="))) + " FROM part",
+    "ub_char_order": "SELECT p_partkey, a = b AND b = 't' AS eq, a <> b AND a <> 't' AND b <> 't' AS ne, a < b AND b < 't' AS lt, a > b AND b > 't' AS gt, a <= b AND b <= 't' AS le, a >= b AND b >= 't' AS ge FROM (SELECT p_partkey, substring(p_name, 1, 1) AS a, substring(p_name, -1, 1) AS b FROM part)",
     "ub_equal_slices": "SELECT p_partkey, substring(p_name, 1, 3) = 'red' AS same, CASE WHEN substring(p_name, 1, 3) <> 'red' THEN CAST(CASE WHEN substring(p_name, 1, 1) <> 'r' THEN 0 WHEN substring(p_name, 2, 1) <> 'e' THEN 1 ELSE 2 END AS BIGINT) END AS at FROM part",
     "ub_case": f"SELECT doc_id, md5(translate(text, {_LOW}, {_UP})) AS up, md5(translate(text, {_UP}, {_LOW})) AS down FROM documents",
     "ub_capitalize": "SELECT o_orderkey, CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN '4-Not Specified' ELSE substring(o_orderpriority, 1, 3) || lower(substring(o_orderpriority, 4)) END AS said FROM orders",

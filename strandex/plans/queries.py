@@ -286,6 +286,31 @@ def re_find_all(spark, sf_dir):
     return documents(spark, sf_dir, m=regex.find_all(F.col(TEXT), "%u%l+ing")).select("doc_id", F.posexplode("m").alias("k", "word")).withColumn("k", F.col("k").cast("bigint"))
 
 
+@query
+def re_find_all_groups(spark, sf_dir):
+    """Match objects of all matches in a window, from a compiled pattern."""
+    tags = regex.all_matches(F.col("html"), regex.compile_re("<(%a+)([^>]*)>"), 5, 2000)
+    found = table(spark, sf_dir, "pages").select("page_id", F.posexplode(tags).alias("k", "m"))
+    return found.select("page_id", F.col("k").cast("bigint").alias("k"), "m.match", F.get("m.groups", F.lit(0)).alias("tag"), F.get("m.groups", F.lit(1)).alias("rest"), "m.start", "m.end")
+
+
+@query
+def re_split_window(spark, sf_dir):
+    return documents(spark, sf_dir, pieces=F.array_join(regex.split_all(F.col(TEXT), "[%s%n]+", start=10, end=90), "|"))
+
+
+@query
+def re_replace_window(spark, sf_dir):
+    return documents(spark, sf_dir, said=F.md5(regex.replace_all(F.col(TEXT), "%a+", "<*>", 10, 90)))
+
+
+@query
+def re_long_loops(spark, sf_dir):
+    """A repeated group of varying length, over whole documents."""
+    found = documents(spark, sf_dir, m=regex.find(F.col(TEXT), "(?%a+[%s%n])+"))
+    return found.select("doc_id", "m.start", "m.end")
+
+
 @query
 def re_groups_url(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
@@ -403,6 +428,20 @@ def ub_compare_index(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", *(octets.compare(op, a, b).alias(n) for n, op in ops.items()))
 
 
+@query
+def ub_compare_slices(spark, sf_dir):
+    a, b = F.col("p_name"), F.lit("a red widget")
+    ops = {"ne": "!=", "lt": "<", "gt": ">", "le": "<=", "ge": ">="}
+    return table(spark, sf_dir, "part").select("p_partkey", *(octets.compare(op, a, b, 1, 5, 3, 7).alias(n) for n, op in ops.items()))
+
+
+@query
+def ub_char_order(spark, sf_dir):
+    first, last = F.substring("p_name", 1, 1), F.substring("p_name", -1, 1)
+    ops = {"eq": "=", "ne": "/=", "lt": "<", "gt": ">", "le": "<=", "ge": ">="}
+    return table(spark, sf_dir, "part").select("p_partkey", *(octets.compare_chars(op, first, last, F.lit("t")).alias(n) for n, op in ops.items()))
+
+
 @query
 def ub_equal_slices(spark, sf_dir):
     a = F.col("p_name")

@@ -93,6 +93,57 @@ def test_rejected(pattern):
         compile_re(pattern)
 
 
+def test_long_loops(spark):
+    """Repeated groups over long texts, which Java's matcher can't do without its stack."""
+    n = 1_000_000
+    texts = spark.createDataFrame([(0, "ab" * (n // 2)), (1, "x" + "ab" * 20_000 + "c"), (2, "")], "i int, t string")
+    t = F.col("t")
+    row = texts.where("i = 0").select(
+        *(F.length(regex.find(t, p)["match"]).alias(f"c{k}") for k, p in enumerate(("(a|b)*", "(ab|c)+", "(a*)*", "(%a%a)*", "((a)|(b))+", "(ab?)*"))),
+        regex.count(t, "(ba|b)+").alias("n"),
+        F.length(regex.replace_all(t, "(ab|c)+", "-")).alias("r"),
+        F.length(regex.replace_first(t, "(ab|c)+", "-")).alias("f"),
+        F.size(regex.split_all(t, "(ab|c)+")).alias("s"),
+        regex.match(t, "(ab|ba)*", exact=True)["end"].alias("m"),
+        F.length(regex.rearrange(t, "(ab|c)+", "<$1>")).alias("g"),
+    ).first()
+    assert tuple(row) == (n, n, 1, n, n, n, 1, 1, 1, 2, n, 4)
+    found = [tuple(r) for r in texts.orderBy("i").select(regex.matches(t, "(ab|c)+c"), regex.group(t, "(ab|b)+c", 1), regex.split(t, "(ab|x)+")["tail"]).collect()]
+    assert found == [(False, None, ""), (True, "ab", "c"), (False, None, None)]
+    assert not compile_re("(a|b)*(%d|%a|x)+(cd)*").long_loops and compile_re("(a|bc)*").long_loops and compile_re("(?a+)-").long_loops
+
+
+def test_loops_by_both_engines(spark):
+    """What runs in Arrow batches gives the cases' results too."""
+    columns = [F.get(regex.all_matches(F.lit(t), p), F.lit(0)).alias(f"c{i}") for i, (p, t, _, _) in enumerate(CASES)]
+    for (p, t, whole, groups), m in zip(CASES, spark.range(1).select(*columns).first(), strict=True):
+        assert (m and m["match"]) == whole and (not m or m["groups"] == groups), (p, t, m)
+
+
+def test_predicate(spark):
+    """matches() looks for less than find() but finds it in the same texts."""
+    more = ["a+", "x?a*b-c+|d+$", "a*", "^a+b*$", "(a+)%d*", "z?", "(?a|bc)+d", "[^a]+b"]
+    texts = ["", "a", "b", "abc", "bcd", "aad", "xd", "dx", "aab1", "z", "\n"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, *(c[1] for c in CASES)]], "t string")
+    patterns = [*more, *(c[0] for c in CASES)]
+    wrong = rows.select("t", *(regex.matches(F.col("t"), p).eqNullSafe(regex.find(F.col("t"), p).isNotNull()).alias(f"c{i}") for i, p in enumerate(patterns)))
+    for r in wrong.collect():
+        assert all(r[1:]), (r[0], [p for p, ok in zip(patterns, r[1:], strict=True) if not ok])
+
+
+def test_windows(spark):
+    text = F.lit("k1=v1;k22=v22;x")
+    found = one(spark, regex.all_matches(text, compile_re("(%a)(%d+)"), 1, 12, 1))
+    assert [(m["match"], m["groups"], m["start"], m["end"]) for m in found] == [("v1", ["v", "1"], 3, 5), ("k22", ["k", "22"], 6, 9), ("v2", ["v", "2"], 10, 12)]
+    assert one(spark, regex.find_all(text, "%d+", 2, 8)) == ["1", "2"]
+    assert one(spark, regex.split_all(text, "[=;]", start=3, end=13)) == ["v1", "k22", "v22"]
+    assert tuple(one(spark, regex.split(text, "=", 3, 13))) == ("v1;k22", "v22")
+    assert one(spark, regex.replace_all(text, "%d", "#", 3, 8)) == "k1=v#;k#2=v22;x"
+    assert one(spark, regex.replace_first(text, "%d", "#", 3)) == "k1=v#;k22=v22;x"
+    assert one(spark, regex.replace_all(text, "(v1|k)+", "#", 1, 8)) == "k1=#;#22=v22;x"
+    assert one(spark, regex.all_matches(F.lit(None).cast("string"), "a")) is None
+
+
 def test_match(spark):
     lit = F.lit
     assert one(spark, regex.match(lit("abc 123"), "%d+")) is None
