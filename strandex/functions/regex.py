@@ -18,6 +18,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandex.runtime import ship
+
 from .regex_dialect import Re, compile_re
 
 Pattern = str | Re
@@ -32,6 +34,7 @@ def _within(text: Column, start: int, end: int | None) -> Column:
 
 
 def _in_python(java: str):
+    """The pattern for the workers' matcher, which keeps its own stack."""
     import regex
 
     return regex.compile(java.replace("\\z", "\\Z"), regex.V1)
@@ -39,6 +42,7 @@ def _in_python(java: str):
 
 def _found(text: Column, java: str, most: int = 0, shift: int = 0, offset: int = 0) -> Column:
     """The match structs of all matches, or of the first ones, by Arrow batches; offset: where the search begins."""
+    ship()
 
     @F.pandas_udf(f"array<{_MATCH}>")
     def run(texts: pd.Series) -> pd.Series:
@@ -121,6 +125,7 @@ def group(text: Column, pattern: Pattern, k: int) -> Column:
 
 def _pieces(text: Column, java: str, most: int) -> Column:
     """What lies between the matches, by Arrow batches; an empty match at the start divides nothing."""
+    ship()
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
@@ -245,6 +250,7 @@ def replace_with(pattern: Pattern, function: Callable[[str, list[str], int, int]
     A template or a text needs no Python on the executors and should be preferred.
     """
     java = compile_re(pattern).java
+    ship()
 
     @F.pandas_udf(T.StringType())
     def run(texts: pd.Series) -> pd.Series:

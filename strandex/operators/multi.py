@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandex.functions import single
+from strandex.runtime import scratch, ship
 
 #: Characters of patterns in one broadcast automaton; a character takes some 50 bytes there.
 BLOCK_CHARS = 1_000_000
@@ -89,6 +90,7 @@ def _automaton(found: list[tuple[str, int]]):
 
 def _first_udf(patterns: Callable[[], list[tuple[str, int]]]) -> Callable:
     kept: list = []
+    ship()
 
     @F.pandas_udf("struct<end:bigint,start:bigint,idx:bigint>")
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -102,6 +104,7 @@ def _first_udf(patterns: Callable[[], list[tuple[str, int]]]) -> Callable:
 
 def _every_udf(patterns: Callable[[], list[tuple[str, int]]]) -> Callable:
     kept: list = []
+    ship()
 
     @F.pandas_udf("array<struct<start:bigint,idx:bigint,end:bigint>>")
     def run(texts: pd.Series) -> pd.Series:
@@ -112,14 +115,22 @@ def _every_udf(patterns: Callable[[], list[tuple[str, int]]]) -> Callable:
     return run
 
 
-def _scanned(texts: DataFrame, patterns: DataFrame, text_col: str, idx: str, pat: str, block_chars: int, out: str, udf: Callable, merge: Callable[[list[Column]], Column]) -> DataFrame:
-    """texts with the column out: what udf finds for each block of patterns, merged."""
+def _scanned(texts: DataFrame, patterns: DataFrame, text_col: str, idx: str, pat: str, block_chars: int, out: str, udf: Callable, merge: Callable[[Column, Column], Column]) -> DataFrame:
+    """texts with the column out: what udf finds for each block of patterns, merged.
+
+    Each block is a pass of its own, and what it found is written before the next one: a worker holds one block's automaton.
+    """
     spark = texts.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    sent = [spark.sparkContext.broadcast(block) for block in _blocks(patterns, idx, pat, block_chars)]
-    found = [udf(lambda b=b: b.value)(F.col(text_col)) for b in sent]
-    names = [f"__{out}_{k}" for k in range(len(found))]
-    return texts.withColumns(dict(zip(names, found, strict=True))).withColumn(out, merge([F.col(n) for n in names])).drop(*names)
+    found, more = None, f"__{out}"
+    for block in _blocks(patterns, idx, pat, block_chars):
+        sent = spark.sparkContext.broadcast(block)
+        column = udf(lambda b=sent: b.value)(F.col(text_col))
+        if found is None:
+            found = texts.withColumn(out, column)
+        else:
+            found = scratch(found).withColumn(more, column).withColumn(out, merge(F.col(out), F.col(more))).drop(more)
+    return found
 
 
 def _scan_first(a, text: str):
@@ -149,18 +160,19 @@ def _scan_every(a, text: str):
 def first_automaton(texts: DataFrame, patterns: DataFrame, text_col: str = "text", idx: str = "idx", pat: str = "pat", out: str = "first", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """texts with the column out: struct (start, idx) of the first match of a table of patterns."""
 
-    def merge(blocks: list[Column]) -> Column:
-        keys = [F.when(x["start"].isNotNull(), F.struct(x["end"].alias("end"), x["start"].alias("start"), x["idx"].alias("idx"))) for x in blocks]
+    def best(x: Column, y: Column) -> Column:
+        """The one that ends first; of equal ends the one that starts first."""
+        keys = [F.when(m["start"].isNotNull(), F.struct(m["end"].alias("end"), m["start"].alias("start"), m["idx"].alias("idx"))) for m in (x, y)]
         return F.array_min(F.array_compact(F.array(*keys)))
 
-    found = _scanned(texts, patterns, text_col, idx, pat, block_chars, out, _first_udf, merge)
+    found = _scanned(texts, patterns, text_col, idx, pat, block_chars, out, _first_udf, best)
     x = F.col(out)
-    return found.withColumn(out, F.when(x.isNotNull(), F.struct(x["start"].alias("start"), x["idx"].alias("idx"))))
+    return found.withColumn(out, F.when(x["start"].isNotNull(), F.struct(x["start"].alias("start"), x["idx"].alias("idx"))))
 
 
 def every_automaton(texts: DataFrame, patterns: DataFrame, text_col: str = "text", idx: str = "idx", pat: str = "pat", out: str = "found", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """texts with the column out: all matches as structs (start, idx, end), by start and index."""
-    return _scanned(texts, patterns, text_col, idx, pat, block_chars, out, _every_udf, lambda blocks: F.array_sort(F.flatten(F.array(*blocks))))
+    return _scanned(texts, patterns, text_col, idx, pat, block_chars, out, _every_udf, lambda x, y: F.array_sort(F.concat(x, y)))
 
 
 def matching(texts: DataFrame, patterns: list[str], text_col: str = "text", negate: bool = False) -> DataFrame:
@@ -202,13 +214,20 @@ def find_child(nodes: DataFrame, at: DataFrame) -> DataFrame:
 
 
 def fail_links(nodes: DataFrame) -> DataFrame:
-    """(prefix, fail): for each node but the root the longest proper suffix that is a node too."""
-    inner = nodes.where("depth > 0").select("prefix")
-    suffixes = inner.select("prefix", F.explode(F.sequence(F.lit(2), F.length("prefix") + 1)).alias("i")).select(
-        "prefix", F.substring("prefix", F.col("i"), F.length("prefix")).alias("suffix")
-    )
-    known = nodes.select(F.col("prefix").alias("suffix"))
-    return suffixes.join(known, "suffix").groupBy("prefix").agg(F.max_by("suffix", F.length("suffix")).alias("fail"))
+    """(prefix, fail): for each node but the root the longest proper suffix that is a node too.
+
+    Suffixes are looked up by their hash and length, so rows of a few numbers are joined and not texts; what is found is
+    compared as text.
+    """
+    known = nodes.select(F.xxhash64("prefix").alias("h"), F.col("depth").alias("size"), F.col("prefix").alias("suffix"))
+    inner = nodes.where("depth > 0").select("prefix", "depth")
+    starts = inner.select(F.xxhash64("prefix").alias("node"), "depth", "prefix", F.explode(F.sequence(F.lit(2), F.length("prefix") + 1)).alias("i"))
+    asked = starts.select("node", (F.col("depth") + 1 - F.col("i")).alias("size"), F.xxhash64(F.substring("prefix", F.col("i"), F.length("prefix"))).alias("h"), "depth")
+    met = asked.join(known.select("h", "size"), ["h", "size"]).select("node", "depth", "size").distinct()
+    pairs = inner.withColumn("node", F.xxhash64("prefix")).join(met, ["node", "depth"])
+    # the right one has this text; the hashes of others may be equal
+    right = pairs.withColumn("suffix", F.substring("prefix", (F.col("depth") - F.col("size") + 1).cast("int"), F.length("prefix"))).join(known.select("suffix"), "suffix", "left_semi")
+    return right.groupBy("prefix").agg(F.max_by("suffix", "size").alias("fail"))
 
 
 def trie_contains(texts: DataFrame, patterns: DataFrame, text_col: str, idx: str = "idx", pat: str = "pat", out: str = "mark") -> DataFrame:
@@ -217,18 +236,18 @@ def trie_contains(texts: DataFrame, patterns: DataFrame, text_col: str, idx: str
     return texts.join(known, F.col(text_col) == F.col("__pat"), "left").drop("__pat")
 
 
-def longest_prefix(texts: DataFrame, patterns: DataFrame, key: str, text_col: str, pat: str = "pat", out: str = "length") -> DataFrame:
-    """(key, out): the length of the longest keyword that the text begins with, else NULL.
+def longest_prefix(texts: DataFrame, patterns: DataFrame, text_col: str, pat: str = "pat", out: str = "length") -> DataFrame:
+    """texts with the column out: the length of the longest keyword that the text begins with, else NULL.
 
-    For each keyword length there is one equality join on that many characters, not a comparison of all pairs.
+    For each keyword length there is one equality join on that many characters of the distinct texts, not a comparison of all pairs.
     """
     known = patterns.where(F.length(pat) > 0).select(F.col(pat).alias("__pat")).distinct()
     sizes = sorted(r[0] for r in known.select(F.length("__pat")).distinct().collect())
-    rows = texts.select(F.col(key), F.col(text_col).alias("__text"))
+    rows = texts.select(F.col(text_col).alias("__text")).where("__text is not null").distinct()
     lengths = F.array(*map(F.lit, sizes)).cast("array<int>")
-    tries = rows.select(key, F.explode(F.filter(lengths, lambda n: n <= F.length("__text"))).alias("n"), "__text")
-    found = tries.join(known, F.substring("__text", F.lit(1), F.col("n")) == F.col("__pat")).groupBy(key).agg(F.max("n").cast("bigint").alias(out))
-    return texts.select(key).join(found, key, "left")
+    tries = rows.select("__text", F.explode(F.filter(lengths, lambda n: n <= F.length("__text"))).alias("n"))
+    found = tries.join(known, F.substring("__text", F.lit(1), F.col("n")) == F.col("__pat")).groupBy("__text").agg(F.max("n").cast("bigint").alias(out))
+    return texts.join(found, F.col(text_col) == F.col("__text"), "left").drop("__text")
 
 
 #: The names a user may know; all share one meaning.

@@ -88,6 +88,8 @@ ORACLES: dict[str, str] = {
     "positions_all": f"SELECT conv_id, turn, i - 1 AS k, start AS pos FROM ({_occurrences('conversations', 'conv_id, turn', '(SELECT 0 AS idx, ' + chr(39) + 'on' + chr(39) + ' AS pat)')})",
     "rk_fingerprint": "SELECT p_partkey, CAST(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substring(p_name, 1, 8), ''), lambda x: ascii(x)::BIGINT)), lambda h, x: (h * 256 + x) % 723925871) AS BIGINT) AS hash FROM part",
     "multi_first": _FIRST,
+    "multi_first_by_algorithm": f"SELECT doc_id, start AS search_ac, start AS search_compiled_ac, start AS search_cw FROM ({_FIRST})",
+    "multi_first_blocks": _FIRST,
     "multi_first_automaton": _FIRST,
     "multi_all": _ALL,
     "multi_all_automaton": _ALL,
@@ -96,6 +98,13 @@ ORACLES: dict[str, str] = {
     "multi_any_semi": "SELECT doc_id FROM documents WHERE contains(text, 'idiot') OR contains(text, 'moron') OR contains(text, 'clown')",
     "multi_none_anti": "SELECT doc_id FROM documents WHERE NOT (contains(text, 'the') OR contains(text, 'que') OR contains(text, 'und'))",
     "trie_nodes": _TRIE.format(src=_list(KEYWORDS)) + "SELECT * FROM nodes",
+    "trie_empty": "SELECT '' AS prefix, CAST(NULL AS VARCHAR) AS parent, CAST(NULL AS VARCHAR) AS label, CAST(0 AS BIGINT) AS depth, CAST(NULL AS BIGINT) AS mark",
+    "trie_printed": _TRIE.format(src=_list(KEYWORDS)) + """SELECT '{"prefix":"' || prefix || '"' || coalesce(',"parent":"' || parent || '","label":"' || label || '"', '') || ',"depth":' || depth || coalesce(',"mark":' || mark, '') || '}' AS line FROM nodes""",
+    "trie_dot": _TRIE.format(src=_list(["he", "she", "his", "hers"])) + """, s AS (SELECT a.prefix, b.prefix AS fail, row_number() OVER (PARTITION BY a.prefix ORDER BY b.depth DESC) AS k
+  FROM nodes a JOIN nodes b ON ends_with(a.prefix, b.prefix) AND b.depth < a.depth)
+  SELECT 'digraph {' AS line UNION ALL SELECT '}' UNION ALL SELECT '  "' || prefix || '" [shape=' || CASE WHEN mark IS NULL THEN 'circle' ELSE 'doublecircle' END || '];' FROM nodes
+  UNION ALL SELECT '  "' || parent || '" -> "' || prefix || '" [label="' || label || '"];' FROM nodes WHERE depth > 0
+  UNION ALL SELECT '  "' || prefix || '" -> "' || fail || '" [style=dashed];' FROM s WHERE k = 1 AND fail <> ''""",
     "trie_from_names": _TRIE.format(src="(SELECT p_name AS pat, min(p_partkey) AS idx FROM part GROUP BY p_name)") + "SELECT prefix, parent, depth, mark FROM nodes",
     "trie_fail_links": _TRIE.format(src=_list([*KEYWORDS, "edge", "dg", "get"])) + """, s AS (SELECT a.prefix, b.prefix AS fail, row_number() OVER (PARTITION BY a.prefix ORDER BY b.depth DESC) AS k
   FROM nodes a JOIN nodes b ON ends_with(a.prefix, b.prefix) AND b.depth < a.depth) SELECT prefix, fail FROM s WHERE k = 1""",
@@ -111,6 +120,11 @@ ORACLES: dict[str, str] = {
     "suffix_tree_edges": _SUBSTRINGS + """, nodes AS (SELECT name, path FROM leaves UNION ALL SELECT name, path FROM inner_nodes UNION ALL SELECT name, '' FROM names),
   edges AS (SELECT a.name, a.path, length(a.path) - max(length(b.path)) AS n FROM nodes a JOIN nodes b ON a.name = b.name AND starts_with(a.path, b.path) AND length(b.path) < length(a.path) GROUP BY a.name, a.path)
   SELECT n.name, CAST(count(*) AS BIGINT) AS nodes, CAST(coalesce((SELECT sum(e.n) FROM edges e WHERE e.name = n.name), 0) AS BIGINT) AS edge_chars FROM nodes n GROUP BY n.name""",
+    "suffix_tree_walk": _SUBSTRINGS + """, nodes AS (SELECT name, path FROM leaves UNION ALL SELECT name, path FROM inner_nodes UNION ALL SELECT name, '' FROM names)
+  SELECT name, path, row_number() OVER (PARTITION BY name ORDER BY path) - 1 AS rank FROM nodes""",
+    "suffix_tree_links": _SUBSTRINGS + """, nodes AS (SELECT name, path FROM leaves UNION ALL SELECT name, path FROM inner_nodes UNION ALL SELECT name, '' FROM names)
+  SELECT i.name, i.path, n.path AS "to" FROM inner_nodes i JOIN nodes n ON n.name = i.name AND n.path = substring(i.path, 2)""",
+    "suffix_tree_equal": "SELECT true AS same, false AS other",
     "re_find": f"""SELECT doc_id, CASE WHEN hit THEN m END AS "match", CASE WHEN hit THEN s END AS start, CASE WHEN hit THEN s + length(m) END AS "end"
   FROM (SELECT doc_id, regexp_matches(text, '{_WORD}') AS hit, regexp_extract(text, '({_WORD})', 1) AS m, CAST(length(regexp_extract(text, '^((?s:.)*?)(?:{_WORD})', 1)) AS BIGINT) AS s FROM documents)""",
     "re_find_window": r"""SELECT doc_id, CASE WHEN hit THEN m END AS "match", CASE WHEN hit THEN s END AS start, CASE WHEN hit THEN s + length(m) END AS "end"
@@ -158,5 +172,7 @@ ORACLES: dict[str, str] = {
     "ub_subseq": "SELECT p_partkey, substring(p_name, 3, 4) AS said, ltrim(p_name, 'r') AS trimmed FROM part",
     "lines_split": f"SELECT doc_id, line_no, line FROM {_LINES}",
     "line_offsets": f'SELECT doc_id, line_no, "offset" FROM {_OFFSETS}',
+    "lines_of_files": """SELECT c_mktsegment AS segment, CAST(3 * count(*) + 1 AS BIGINT) AS n, CAST(sum(b) + 1 AS BIGINT) AS chars, CAST(sum(b) AS BIGINT) AS last, CAST(count(*) + 1 AS BIGINT) AS blank
+  FROM (SELECT c_mktsegment, length(c_custkey || ' ' || c_name) + length(c_mktsegment) + 3 AS b FROM customer) GROUP BY c_mktsegment""",
     "lines_from_position": f'SELECT doc_id, line_no, substring(line, CAST(greatest(100 - "offset", 0) AS BIGINT) + 1) AS line, greatest("offset", 100) AS "offset" FROM {_OFFSETS} WHERE "offset" + length(line) >= 100',
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from strandex.functions import octets, regex, single
 from strandex.functions.scanf import scanf
 from strandex.operators import multi, suffix_tree
+from strandex.runtime import shared_folder
 from strandex.sources import dot, lines
 
 PATTERNS = ["the", "tion", "and", "ou", "sch", "on", "tio"]
@@ -133,6 +135,21 @@ def multi_first(spark, sf_dir):
     return found.select("doc_id", F.col("m.start").alias("start"), F.col("m.idx").alias("idx"))
 
 
+@query
+def multi_first_by_algorithm(spark, sf_dir):
+    """All named algorithms, which have one meaning."""
+    names = ["search_ac", "search_compiled_ac", "search_cw"]
+    return documents(spark, sf_dir, **{n: getattr(multi, n)(F.col(TEXT), PATTERNS)["start"] for n in names})
+
+
+@query
+def multi_first_blocks(spark, sf_dir):
+    """A pattern table in several blocks, each a pass of its own."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", TEXT)
+    found = multi.first_automaton(docs, pattern_table(spark, PATTERNS), block_chars=8)
+    return found.select("doc_id", F.col("first.start").alias("start"), F.col("first.idx").alias("idx"))
+
+
 @query
 def multi_first_automaton(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", TEXT)
@@ -182,6 +199,16 @@ def trie_nodes(spark, sf_dir):
     return multi.trie(pattern_table(spark, KEYWORDS))
 
 
+@query
+def trie_empty(spark, sf_dir):
+    return multi.empty_trie(spark)
+
+
+@query
+def trie_printed(spark, sf_dir):
+    return dot.printed(multi.trie(pattern_table(spark, KEYWORDS)))
+
+
 @query
 def trie_from_names(spark, sf_dir):
     names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("pat")).agg(F.min("p_partkey").alias("idx"))
@@ -211,7 +238,7 @@ def trie_contains(spark, sf_dir):
 
 @query
 def trie_longest_prefix(spark, sf_dir):
-    return multi.longest_prefix(table(spark, sf_dir, "part"), pattern_table(spark, KEYWORDS), "p_partkey", "p_name")
+    return multi.longest_prefix(table(spark, sf_dir, "part").select("p_partkey", "p_name"), pattern_table(spark, KEYWORDS), "p_name").select("p_partkey", "length")
 
 
 @query
@@ -254,6 +281,34 @@ def suffix_tree_edges(spark, sf_dir):
     return tree.groupBy("name").agg(F.count("*").alias("nodes"), F.sum(F.length("edge")).cast("bigint").alias("edge_chars"))
 
 
+@query
+def suffix_tree_walk(spark, sf_dir):
+    """Ranks of the nodes in pre-order, a walk in each tree."""
+    from pyspark.sql import Window
+
+    tree = suffix_tree.walk(suffix_tree.suffix_tree(_names(spark, sf_dir), "name", "name"))
+    return tree.select("name", "path", (F.row_number().over(Window.partitionBy("name").orderBy("path")) - 1).cast("bigint").alias("rank"))
+
+
+@query
+def suffix_tree_links(spark, sf_dir):
+    tree = suffix_tree.suffix_tree(_names(spark, sf_dir), "name", "name")
+    ends = suffix_tree.suffix_links(tree, "name").join(tree.select("name", "node_id", "path"), ["name", "node_id"])
+    return ends.join(tree.select("name", F.col("node_id").alias("link"), F.col("path").alias("to")), ["name", "link"]).select("name", "path", "to")
+
+
+@query
+def suffix_tree_equal(spark, sf_dir):
+    """A tree made by hand, from nested lists, is the built one; another text's is not."""
+    texts = spark.createDataFrame([("cacao",), ("cocoa",)], "t string")
+    tree = suffix_tree.suffix_tree(texts, "t", "t")
+    made = suffix_tree.from_nested("cacao", [[0, 2, [[2, 5], [4, 5]]], [1, 2, [[2, 5]]]])
+    made = suffix_tree.insert(suffix_tree.insert(made, 4, 4, 5), 0, 4, 5)
+    own = spark.createDataFrame([("cacao"[b - d : b], leaf) for _, _, _, b, d, leaf in made], "path string, is_leaf boolean")
+    a, b = (tree.where(F.col("t") == t) for t in ("cacao", "cocoa"))
+    return spark.createDataFrame([(suffix_tree.equal(a, own), suffix_tree.equal(a, b))], "same boolean, other boolean")
+
+
 # -- regular expressions
 
 URL = "(%a+)://([^/?#]+)([^?#]*)"
@@ -496,11 +551,20 @@ def lines_split(spark, sf_dir):
 
 @query
 def line_offsets(spark, sf_dir):
-    rows = lines.exploded(table(spark, sf_dir, "documents").select("doc_id", TEXT), "doc_id", TEXT)
-    return lines.with_offsets(rows, "doc_id").select("doc_id", "line_no", "offset")
+    return lines.numbered(table(spark, sf_dir, "documents"), "doc_id", TEXT).select("doc_id", "line_no", "offset")
 
 
 @query
 def lines_from_position(spark, sf_dir):
-    rows = lines.exploded(table(spark, sf_dir, "documents").select("doc_id", TEXT), "doc_id", TEXT)
-    return lines.from_position(lines.with_offsets(rows, "doc_id"), 100).select("doc_id", "line_no", "line", "offset")
+    return lines.from_position(lines.numbered(table(spark, sf_dir, "documents"), "doc_id", TEXT), 100)
+
+
+@query
+def lines_of_files(spark, sf_dir):
+    """Customers written as a file for each segment, three lines each, and read back: octets, numbers and offsets."""
+    folder = f"{shared_folder(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    names = table(spark, sf_dir, "customer").select("c_mktsegment", F.concat_ws("\n", F.concat_ws(" ", "c_custkey", "c_name"), F.lit(""), "c_mktsegment").alias("value"))
+    names.repartition(3, "c_mktsegment").sortWithinPartitions("value").write.partitionBy("c_mktsegment").text(folder)
+    found = lines.line_strings(lines.read_lines(spark, folder))
+    part = regex.group(F.col("path"), "c_mktsegment=([^/]+)/", 1)
+    return found.groupBy(part.alias("segment")).agg(F.count("*").alias("n"), F.sum(F.length("line") + 1).alias("chars"), F.max("offset").alias("last"), F.count_if(F.col("line") == "").alias("blank"))

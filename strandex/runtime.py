@@ -1,21 +1,23 @@
-"""Sends this package to the executors, so that their Python workers can import it."""
+"""What all parts share: the package on the executors, and tables between steps in the cluster's shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
 
 
-def ship(spark: SparkSession) -> None:
-    """Adds a zip of the package's modules to the application, once."""
-    sc = spark.sparkContext
-    if sc.applicationId in _sent:
+def ship(spark: SparkSession | None = None) -> None:
+    """Adds a zip of the package's modules to the application, once, so that its Python workers can import it."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext.applicationId in _sent:
         return
+    sc = spark.sparkContext
     root = Path(__file__).resolve().parent
     path = Path(tempfile.mkdtemp(prefix="strandex-zip-")) / f"{root.name}.zip"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
@@ -23,3 +25,46 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(str(path))
     _sent.add(sc.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
+
+    Where that is unset a temporary folder is made and set, in local mode only; on a cluster that is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        had = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not had.isDefined() and not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = had.get() if had.isDefined() else "file://" + tempfile.mkdtemp(prefix="strandex-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def _path(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def scratch(df: DataFrame) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it again.
+
+    This cuts lineage and survives lost executors. The folder goes when the driver's JVM ends, or with drop().
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where, store = _path(spark, path)
+    store.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes what scratch() wrote for df, which nothing may read any more."""
+    where, store = _path(df.sparkSession, df._scratch)
+    store.delete(where, True)

@@ -33,8 +33,8 @@ def trie_dot(nodes: DataFrame, fails: DataFrame | None = None) -> DataFrame:
     return _graph(parts)
 
 
-def suffix_tree_dot(tree: DataFrame) -> DataFrame:
-    """Lines of a graph of one text's tree; an edge bears its text and bounds."""
+def suffix_tree_dot(tree: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Lines of a graph of one text's tree; an edge bears its text and bounds, dotted edges are suffix links (node_id, link)."""
     node = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"))
     order = F.lpad(F.col("node_id").cast("string"), 12, "0")
     shape = F.when(F.col("is_leaf"), "box").otherwise("circle")
@@ -43,7 +43,11 @@ def suffix_tree_dot(tree: DataFrame) -> DataFrame:
     edges = tree.where("parent_id is not null").select(
         order.alias("k"), F.concat(F.lit("  "), node("parent_id"), F.lit(" -> "), node("node_id"), F.lit(' [label="'), _label(F.col("edge")), bounds, F.lit('"];')).alias("line")
     )
-    return _graph([states, edges])
+    parts = [states, edges]
+    if links is not None:
+        line = F.concat(F.lit("  "), node("node_id"), F.lit(" -> "), node("link"), F.lit(" [style=dotted];"))
+        parts.append(links.select(F.lpad(F.col("node_id").cast("string"), 12, "0").alias("k"), line.alias("line")))
+    return _graph(parts)
 
 
 def write_dot(graph: DataFrame, path: str) -> None:

@@ -7,11 +7,13 @@ a task. stream_lines() splits files among tasks at any size, without numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandex.functions.octets import to_string
 from strandex.functions.single import octets
+from strandex.runtime import ship
 
 
 def split_lines(text: Column) -> Column:
@@ -23,17 +25,36 @@ def exploded(texts: DataFrame, key: str, text_col: str) -> DataFrame:
     return texts.select(key, F.posexplode(split_lines(F.col(text_col))).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
+def starts(text: Column) -> Column:
+    """How many characters, line feeds included, stand before each line: an array, by Arrow batches.
+
+    Running sums of built-in array functions copy the array for each line.
+    """
+    ship()
+
+    @F.pandas_udf("array<bigint>")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t: str) -> list[int]:
+            out, at = [0], 0
+            while at := t.find("\n", at) + 1:
+                out.append(at)
+            return out
+
+        return pd.Series([None if t is None else one(t) for t in texts], dtype=object)
+
+    return run(text)
+
+
+def numbered(texts: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(key, line_no, line, offset): each text's lines by themselves, whether or not its key is another's too. Nothing is shuffled."""
+    both = texts.select(key, F.posexplode(F.arrays_zip(split_lines(F.col(text_col)).alias("line"), starts(F.col(text_col)).alias("offset"))).alias("line_no", "l"))
+    return both.select(key, F.col("line_no").cast("bigint").alias("line_no"), F.col("l.line").alias("line"), F.col("l.offset").alias("offset"))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, line, offset): line is text of one character a byte, offset the byte where it starts."""
     files = spark.read.format("binaryFile").load(path).select("path", octets(F.col("content")).alias("text"))
-    lines = exploded(files, "path", "text")
-    return with_offsets(lines, "path")
-
-
-def with_offsets(lines: DataFrame, key: str) -> DataFrame:
-    """lines with offset: how many characters, line feeds included, stand before each line of its key."""
-    before = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return lines.withColumn("offset", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("bigint"))
+    return numbered(files, "path", "text")
 
 
 def from_position(lines: DataFrame, offset: int) -> DataFrame:

@@ -113,13 +113,29 @@ def test_trie(spark):
     moves = {(r["prefix"], r["label"]): r["target"] for r in multi.transitions(nodes).collect()}
     assert moves["she", "r"] == "her" and moves["she", "s"] == "s" and moves["", "i"] == "" and len(moves) == 50
     texts = spark.createDataFrame([(0, "hers"), (1, "heres"), (2, ""), (3, "x"), (4, None)], "k bigint, t string")
-    assert {r["k"]: r["length"] for r in multi.longest_prefix(texts, words, "k", "t").collect()} == {0: 4, 1: 2, 2: None, 3: None, 4: None}
+    assert {r["k"]: r["length"] for r in multi.longest_prefix(texts, words, "t").collect()} == {0: 4, 1: 2, 2: None, 3: None, 4: None}
     assert {r["k"]: r["mark"] for r in multi.trie_contains(texts, words, "t").collect()} == {0: 3, 1: None, 2: None, 3: None, 4: None}
     assert multi.empty_trie(spark).count() == 1
     graph = [r["line"] for r in dot.trie_dot(nodes, multi.fail_links(nodes)).collect()]
     assert graph[0] == "digraph {" and graph[-1] == "}" and '  "he" [shape=doublecircle];' in graph and '  "she" -> "he" [style=dashed];' in graph
 
 
+def test_repeated_keys(spark):
+    """Rows that share a key, or have none, keep their own results."""
+    rows = spark.createDataFrame([(1, "hers\nx"), (1, "he"), (None, "his"), (None, "a\n\nb"), (2, None)], "k bigint, t string")
+    words = spark.createDataFrame([(0, "he"), (1, "hers"), (2, "his")], "idx bigint, pat string")
+    assert {(r["k"], r["t"]): r["length"] for r in multi.longest_prefix(rows, words, "t").collect()} == {(1, "hers\nx"): 4, (1, "he"): 2, (None, "his"): 3, (None, "a\n\nb"): None, (2, None): None}
+    found = sorted((repr(r["k"]), r["line"], r["line_no"], r["offset"]) for r in lines.numbered(rows, "k", "t").collect())
+    assert found == [("1", "he", 0, 0), ("1", "hers", 0, 0), ("1", "x", 1, 5), ("None", "", 1, 2), ("None", "a", 0, 0), ("None", "b", 2, 3), ("None", "his", 0, 0)]
+
+
+def test_long_suffix_tree(spark):
+    """A run of one letter, whose neighbouring suffixes share almost all, and a text without its nodes spelled."""
+    assert len(suffix_tree.build("a" * 20_000)) == 2 and len(suffix_tree.build("a" * 20_000 + "b")) == 40_001
+    tree = suffix_tree.suffix_tree(spark.createDataFrame([("ab" * 3000,)], "t string"), "t", "t", spelled=False)
+    assert "path" not in tree.columns and tree.count() == 3
+
+
 def test_suffix_trees(spark):
     rows = spark.createDataFrame([(t,) for t, _, _ in TREES] + [("",), (None,)], "t string")
     tree = suffix_tree.suffix_tree(rows, "t", "t").cache()
