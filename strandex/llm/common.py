@@ -6,8 +6,6 @@ by vector operations and no Python string is made for a word.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from strandex.runtime import ship
+from strandex.runtime import drop, scratch, shared_folder, ship  # noqa: F401  the operators take them from here
 
 #: Rows of one Arrow batch.
 BATCH_ROWS = 256
@@ -39,35 +37,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Only where that is unset (local runs and tests) is a temporary folder made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        had = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = had.get() if had.isDefined() else "file://" + tempfile.mkdtemp(prefix="strandex-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def scratch(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again.
-
-    This cuts lineage and survives lost executors. The folder goes when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def sliced(b: pa.RecordBatch, text_col: str = "text") -> Iterator[pa.RecordBatch]:
     """A batch in parts of about WINDOW bytes of text, a row at least."""
     if text_col not in b.schema.names:
