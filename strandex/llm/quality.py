@@ -3,11 +3,17 @@
 Each line is good or bad. Its score is linear in its own features and in those of the line before
 and after; a 2 x 2 matrix scores neighbouring states. Forward-backward gives each line's marginal; a
 document's raw quality is their mean weighted by the lines' lengths, and a logistic curve fitted to the
-training documents' labels turns that into the score. Labels mark documents only, so for training all lines
-of a document bear its label.
+training documents' labels turns that into the score.
+
+Labels mark documents, so the lines' states are latent. They start as their document's label, which each line's own features
+are fitted to, without its neighbours: those would only tell the document. Then rounds alternate:
+the chain's own posterior, moved no further than until the length-weighted share of good lines is at least GOOD_SHARE in a
+document of label 1 and at most BAD_SHARE in one of label 0, gives each line's expected state, and the weights are fitted to
+those. So a bad document may keep good lines, and neighbours may differ.
 
 Training takes about SAMPLE labelled documents, chosen by a hash of the id, of at most SAMPLE_LINES lines
-each; both bounds are parameters. The model is some 100 numbers. Scoring reads whole texts.
+each; both bounds are parameters. The model is some 100 numbers. Scoring reads whole texts, line by line: memory follows
+a batch or the longest line, and 150 bytes for each line of a text.
 """
 
 from __future__ import annotations
@@ -23,11 +29,15 @@ from . import common as c
 
 #: Expected documents of the training sample, and lines of each at most.
 SAMPLE, SAMPLE_LINES = 4000, 400
+#: Of a document's length, what lines of label 1 take at least where its label is 1, and at most where it is 0.
+GOOD_SHARE, BAD_SHARE = 0.9, 0.5
+#: Rounds of expectation, and steps of the weights in each.
+ROUNDS, ROUND_STEPS = 5, 20
 
 #: Classes of bytes, in order: separator, lower case, upper case, digit, sentence punctuation, pipe,
 #: other symbol, non-ASCII.
 CLASSES = 8
-CLASS = np.full(256, 6, np.int64)
+CLASS = np.full(256, 6, np.uint8)
 CLASS[:33] = 0
 CLASS[97:123], CLASS[65:91], CLASS[48:58], CLASS[128:] = 1, 2, 3, 7
 CLASS[[ord(x) for x in ".,;:'\"-?()"]] = 4
@@ -51,17 +61,48 @@ def lines_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def line_features(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features, row, length in bytes) of each non-empty line of a string column."""
     buf, off = c.text_bytes(col)
+    parts, at = [], 0
+    while at < len(buf):
+        end = min(at + c.WINDOW, len(buf))
+        if end < len(buf):  # cut after a line, the first one however long it is
+            ends = np.flatnonzero(buf[at:end] == 10)
+            rows = off[(off > at) & (off <= end)]
+            last = max(int(ends[-1]) + 1 + at if len(ends) else 0, int(rows[-1]) if len(rows) else 0)
+            while not last:
+                more = np.flatnonzero(buf[end : end + c.WINDOW] == 10)
+                last = int(more[0]) + 1 + end if len(more) else 0
+                end += c.WINDOW
+                rows = off[(off > at) & (off <= min(end, len(buf)))]
+                last = min(x for x in (last or len(buf) + 1, int(rows[0]) if len(rows) else len(buf) + 1)) % (len(buf) + 1)
+            end = last
+        i = int(np.searchsorted(off, at, "right")) - 1
+        j = int(np.searchsorted(off, end, "left"))
+        own = np.clip(off[i : j + 1], at, end) - at
+        parts.append((*_line_features(buf[at:end], own), i))
+        at = end
+    if not parts:
+        return np.zeros((0, FEATURES), np.float32), np.zeros(0, np.int64), np.zeros(0)
+    x, size, line_hash = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 3))
+    row = np.concatenate([p[1] + p[4] for p in parts])
+    order = np.lexsort((line_hash, row))
+    same = np.zeros(len(row), bool)
+    eq = (row[order][1:] == row[order][:-1]) & (line_hash[order][1:] == line_hash[order][:-1])
+    same[order[1:]] |= eq
+    same[order[:-1]] |= eq
+    x[:, -1] = same
+    return x, row, size
+
+
+def _line_features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features, row, length, hash of words) of each non-empty line; the last feature, whether it repeats, stays 0."""
     row, start, end = lines_of(buf, off)
     n, size = len(row), (end - start).astype(np.float64)
     if not n:
-        return np.zeros((0, FEATURES), np.float32), row, size
+        return np.zeros((0, FEATURES), np.float32), row, size, np.zeros(0, np.uint64)
     w = c.Words(buf, off, c.SPACED)
     of_word = np.searchsorted(start, w.start, "right") - 1
     kind = CLASS[buf]
-    counts = np.empty((n, CLASSES))
-    for k in range(CLASSES):
-        s = np.concatenate(([0], np.cumsum(kind == k)))
-        counts[:, k] = s[end] - s[start]
+    counts = [np.add.reduceat(kind == k, start, dtype=np.int64) for k in range(1, CLASSES)]  # line ends are in class 0
     words = np.maximum(np.bincount(of_word, minlength=n), 1)
     order = np.lexsort((w.hash, of_word))
     a, b = of_word[order], w.hash[order]
@@ -70,25 +111,19 @@ def line_features(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     different = np.bincount(a[first], minlength=n)
     marked = (kind[w.end - 1] == 6) | (kind[w.end - 1] == 5)
     shouted = (kind[w.start] == 2) & (kind[np.minimum(w.start + 1, w.end - 1)] == 2)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(w.hash * c.mix(w.start.astype(np.uint64) - start[of_word].astype(np.uint64)), dtype=np.uint64)))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(c.mix(w.hash + c.mix(w.start.astype(np.uint64) - start[of_word].astype(np.uint64))), dtype=np.uint64)))
     at = np.searchsorted(w.start, np.stack((start, end)))
-    line_hash = sums[at[1]] - sums[at[0]]
-    order = np.lexsort((line_hash, row))
-    same = np.zeros(n, bool)
-    eq = (row[order][1:] == row[order][:-1]) & (line_hash[order][1:] == line_hash[order][:-1])
-    same[order[1:]] |= eq
-    same[order[:-1]] |= eq
     f = [
-        *(counts[:, k] / size for k in (1, 2, 3, 4, 5, 6, 7)),
+        *(k / size for k in counts),
         np.log1p(size) / 8,
         np.log1p(words) / 6,
         size / words / 10,
         different / words,
         np.bincount(of_word, marked, minlength=n) / words,
         np.bincount(of_word, shouted, minlength=n) / words,
-        same,
+        np.zeros(n),
     ]
-    return np.stack(f, 1).astype(np.float32), row, size
+    return np.stack(f, 1).astype(np.float32), row, size, sums[at[1]] - sums[at[0]]
 
 
 def chain_inputs(x: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -134,6 +169,29 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * np.asarray(x)))
 
 
+def shares(good: np.ndarray, row: np.ndarray, size: np.ndarray, rows: int) -> np.ndarray:
+    """Each row's mean of good, weighted by size; NaN for a row without lines."""
+    total = np.bincount(row, size, minlength=rows)
+    return np.divide(np.bincount(row, good * size, minlength=rows), total, out=np.full(rows, np.nan), where=total > 0)
+
+
+def expected(s: np.ndarray, row: np.ndarray, size: np.ndarray, t: np.ndarray, labels: np.ndarray, steps: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's probability of state 1 and the sum of all pairs', of the posterior that is closest to the chain's with
+    shares as the labels ask: a row whose share is wrong gets the least constant on its lines' log odds that mends it."""
+    rows = len(labels)
+    low, high = np.zeros(rows), np.where(labels == 1, 20.0, -20.0)
+    now = np.zeros(rows)
+    for _ in range(steps + 1):
+        a, b, pair = forward_backward(s + now[row], row, t)
+        share = shares(sigmoid(a + b), row, size, rows)
+        right = np.isnan(share) | np.where(labels == 1, share >= GOOD_SHARE, share <= BAD_SHARE)
+        low, high = np.where(right, low, now), np.where(right, now, high)
+        now = np.where(high == 0, 0.0, (low + high) / 2)
+    now = high
+    a, b, pair = forward_backward(s + now[row], row, t)
+    return sigmoid(a + b), pair.sum(0)
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -143,13 +201,26 @@ class Model:
     curve: tuple[float, float] = (1.0, 0.0)
     prior: float = 0.5
 
+    def logits(self, x: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Each line's own log odds, as chain_inputs() would give them, without its wide rows."""
+        w = self.weights / self.scale
+        own, before, after = w[:-1].reshape(3, -1)
+        x = np.concatenate((x, x * x), 1)
+        s = x @ own + (w[-1] - self.mean @ w)
+        if len(x) > 1:
+            inner = row[1:] == row[:-1]
+            s[1:] += (x[:-1] @ before) * inner
+            s[:-1] += (x[1:] @ after) * inner
+        return s
+
+    def marginals(self, x: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """How likely each line is good."""
+        a, b, _ = forward_backward(self.logits(x, row), row, self.trans)
+        return sigmoid(a + b)
+
     def raw(self, x: np.ndarray, row: np.ndarray, size: np.ndarray, rows: int) -> np.ndarray:
         """Length-weighted mean marginal of each row's lines; NaN for a row without lines."""
-        v = (chain_inputs(x, row) - self.mean) / self.scale
-        a, b, _ = forward_backward(v @ self.weights, row, self.trans)
-        good = np.bincount(row, sigmoid(a + b) * size, minlength=rows)
-        total = np.bincount(row, size, minlength=rows)
-        return np.divide(good, total, out=np.full(rows, np.nan), where=total > 0)
+        return shares(self.marginals(x, row), row, size, rows)
 
     def scores(self, raw: np.ndarray) -> np.ndarray:
         p = np.clip(raw, 1e-6, 1 - 1e-6)
@@ -158,7 +229,8 @@ class Model:
 
 
 def fit(x: np.ndarray, row: np.ndarray, size: np.ndarray, labels: np.ndarray, steps: int = 200, decay: float = 1e-3, rate: float = 0.05) -> Model:
-    """labels: 0 or 1 for each row. Adam steps on the penalised log likelihood of the lines' labels."""
+    """labels: 0 or 1 for each row. Adam steps on the penalised log likelihood of the lines' states, which are the
+    documents' labels for half of the steps and then what expected() makes of the chain, round after round."""
     rows, y = len(labels), labels[row].astype(np.float64)
     v = chain_inputs(x, row)
     mean, scale = v.mean(0), np.maximum(v.std(0), 1e-3)
@@ -170,10 +242,16 @@ def fit(x: np.ndarray, row: np.ndarray, size: np.ndarray, labels: np.ndarray, st
     np.add.at(seen, (2 * y[later - 1] + y[later]).astype(int), 1)
     n = max(len(y), 1)
     theta, g1, g2 = np.zeros(v.shape[1] + 4), 0.0, 0.0
+    first = max(steps - ROUNDS * ROUND_STEPS, steps // 2)
+    alone = np.zeros(len(theta))
+    alone[: 2 * FEATURES] = alone[-5] = 1
     for k in range(1, steps + 1):
         m.weights, m.trans = theta[:-4], theta[-4:].reshape(2, 2)
+        if k > first and (k - first) % ROUND_STEPS == 1:
+            y, seen = expected(v @ m.weights, row, size, m.trans, labels)
         a, b, pair = forward_backward(v @ m.weights, row, m.trans)
         g = np.concatenate((v.T @ (y - sigmoid(a + b)), seen - pair.sum(0))) / n - decay * theta
+        g *= alone if k <= first else 1
         g1, g2 = 0.9 * g1 + 0.1 * g, 0.999 * g2 + 0.001 * g * g
         theta = theta + rate * (g1 / (1 - 0.9**k)) / (np.sqrt(g2 / (1 - 0.999**k)) + 1e-8)
     m.weights, m.trans = theta[:-4], theta[-4:].reshape(2, 2)
@@ -227,7 +305,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for each row: how likely label 1 is. Texts without a non-empty line, null ones too, get the
-    share of label 1 in the training sample; without a model every score is 0.5."""
+    share of label 1 in the training sample; without a model every score is 0.5. Ids don't matter: a null id and rows that
+    repeat one get their own rows. An empty table gives none."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if model is None:
         return texts.select("id", F.lit(0.5).alias("score"))
@@ -239,3 +318,20 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         return pa.RecordBatch.from_arrays([b["id"], pa.array(out)], ["id", "score"])
 
     return c.mapped(texts, f, f"id {texts.schema['id'].dataType.simpleString()}, score double")
+
+
+def lines(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, line, start, end, good) for each non-empty line: its number among those, its bytes in the text, and how likely
+    it is good. Null and empty texts have none."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def f(b: pa.RecordBatch) -> pa.RecordBatch:
+        buf, off = c.text_bytes(b["text"])
+        x, row, _ = line_features(b["text"])
+        _, start, end = lines_of(buf, off)
+        first = np.searchsorted(row, np.arange(b.num_rows))
+        cols = [b["id"].take(pa.array(row)), *map(pa.array, (np.arange(len(row)) - first[row], start - off[row], end - off[row], sent.value.marginals(x, row)))]
+        return pa.RecordBatch.from_arrays(cols, ["id", "line", "start", "end", "good"])
+
+    return c.mapped(texts, f, f"id {texts.schema['id'].dataType.simpleString()}, line long, start long, end long, good double")
