@@ -5,6 +5,10 @@ learnt from; the weights from at most about PER_LANGUAGE of them a language, cho
 Training follows the regularised leader by coordinate with elastic-net penalties, so weights that don't
 pay are exactly zero; a temperature fitted on an eighth of the sample, left out of training, calibrates
 the scores. The model is a few arrays of fixed size (BUCKETS x languages).
+
+A text in none of the learnt languages is still likeliest in one of them, and the calibrated score can be high. What tells
+it is the margin, the uncalibrated log odds of the best language against the second: accepted() wants a share
+of the margin that left-out texts have in the middle.
 """
 
 from __future__ import annotations
@@ -56,11 +60,37 @@ def gram_counts(points: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out.reshape(rows, BUCKETS)
 
 
+def text_counts(col: pa.Array) -> np.ndarray:
+    """gram_counts() of a string column. A text longer than a window is counted in parts, so memory doesn't follow its length."""
+    buf, off = c.text_bytes(col)
+    if len(buf) <= 2 * c.WINDOW:
+        return gram_counts(*characters(col))
+    out = np.zeros((len(col), BUCKETS), np.int64)
+    for i in range(len(col)):
+        at, end = int(off[i]), int(off[i + 1])
+        begin = at
+        while at < end:
+            to = min(at + c.WINDOW, end)
+            while to < end and buf[to] & 0xC0 == 0x80:  # between characters
+                to += 1
+            before = at
+            for _ in range(max(ORDERS) - 1):  # grams that begin in the part before
+                if before > begin:
+                    before -= 1
+                    while buf[before] & 0xC0 == 0x80:
+                        before -= 1
+            for sign, x, y in ((1, before, to), (-1, before, at)):
+                if y > x:
+                    out[i] += sign * gram_counts(*characters(pa.array([bytes(buf[x:y])]).cast(pa.string())))[0]
+            at = to
+    return out
+
+
 def _slices(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     for whole in c.sliced(b):
         for i in range(0, whole.num_rows, ROWS):
             part = whole.slice(i, ROWS)
-            yield part, gram_counts(*characters(part["text"]))
+            yield part, text_counts(part["text"])
 
 
 @dataclass
@@ -72,14 +102,28 @@ class Model:
     temperature: float = 1.0
     #: Share of the left-out texts that are told right; 0 if there are none.
     accuracy: float = 0.0
+    #: The middle margin of the left-out texts, or of the texts learnt from if none is left out.
+    margin: float = 0.0
 
     def values(self, counts: np.ndarray) -> np.ndarray:
         """TF-IDF rows of unit length from counts (rows, buckets)."""
         v = np.log1p(counts, dtype=np.float32) * self.idf
         return v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-12)
 
-    def probabilities(self, counts: np.ndarray) -> np.ndarray:
-        return softmax((self.values(counts) @ self.weights + self.bias) / self.temperature)
+    def evidence(self, counts: np.ndarray) -> np.ndarray:
+        """What a text's n-grams say for each language."""
+        return self.values(counts) @ self.weights
+
+    def probabilities(self, evidence: np.ndarray) -> np.ndarray:
+        return softmax((evidence + self.bias) / self.temperature)
+
+
+def margins(x: np.ndarray) -> np.ndarray:
+    """By how much the best column exceeds the second; the column itself if there is one."""
+    if x.shape[1] < 2:
+        return x[:, 0]
+    two = np.partition(x, -2, 1)[:, -2:]
+    return two[:, 1] - two[:, 0]
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -163,8 +207,10 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         data.append((i, v / max(float(np.sqrt((v * v).sum())), 1e-12)))
     left_out = np.arange(len(data)) % 8 == 7
     model.weights, model.bias = ftrl([x for x, o in zip(data, left_out, strict=True) if not o], labels[~left_out], len(langs))
+    evidence = np.array([v @ model.weights[i] for (i, v), o in zip(data, left_out, strict=True) if o or not left_out.any()]).reshape(-1, len(langs))
+    model.margin = float(np.median(margins(evidence))) if len(evidence) else 0.0
     if left_out.any():
-        logits = np.array([v @ model.weights[i] + model.bias for (i, v), o in zip(data, left_out, strict=True) if o])
+        logits = evidence + model.bias
         model.temperature = temperature(logits, labels[left_out])
         model.accuracy = float((logits.argmax(1) == labels[left_out]).mean())
     return model
@@ -177,46 +223,53 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def _predicted(model: Model, b: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
-    names, scores = [], []
+def _predicted(model: Model, b: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Each row's language, its probability, and its margin."""
+    names, scores, gaps = [], [], []
     for part, counts in _slices(b):
         buf, off = c.text_bytes(part["text"])
-        letter = np.concatenate(([0], np.cumsum(((buf | 32) >= 97) & ((buf | 32) <= 122))))
-        some = (letter[off[1:]] - letter[off[:-1]]) > 0
+        some = np.array([((buf[x:y] | 32) - np.uint8(97) < 26).any() for x, y in zip(off, off[1:], strict=False)])
         for i in np.flatnonzero(~some):
             some[i] = any(x.isalpha() for x in part["text"][int(i)].as_py() or "")
         if model.langs:
-            p = model.probabilities(counts)
-            best = p.argmax(1)
-            names += [model.langs[k] if s else UNKNOWN for k, s in zip(best, some, strict=True)]
+            evidence = model.evidence(counts)
+            p = model.probabilities(evidence)
+            names += [model.langs[k] if s else UNKNOWN for k, s in zip(p.argmax(1), some, strict=True)]
             scores.append(np.where(some, p.max(1), 0.0))
+            gaps.append(margins(evidence))
         else:
             names += [UNKNOWN] * part.num_rows
             scores.append(np.zeros(part.num_rows))
-    return names, np.concatenate(scores).astype(np.float64)
+            gaps.append(np.zeros(part.num_rows))
+    return names, np.concatenate(scores).astype(np.float64), np.concatenate(gaps)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang, score) for each row: the likeliest language and its probability.
 
-    UNKNOWN with score 0 if the text is null or has no letter.
+    UNKNOWN with score 0 if the text is null or has no letter, or the model knows no language. Ids don't matter: a null id
+    and rows that repeat one get their own rows. An empty table gives none. Long texts are counted in parts.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
-        names, scores = _predicted(sent.value, b)
+        names, scores, _ = _predicted(sent.value, b)
         return pa.RecordBatch.from_arrays([b["id"], pa.array(names, pa.string()), pa.array(scores)], ["id", "lang", "score"])
 
     return c.mapped(texts, f, f"id {texts.schema['id'].dataType.simpleString()}, lang string, score double")
 
 
-def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose language is known with at least this score."""
+def accepted(docs: DataFrame, model: Model, least_share: float, wanted: tuple[str, ...] | None = None, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose language is known, with a margin of least_share of the model's at least, and one
+    of those wanted, if any are named. Without a learnt language every text with a letter is accepted."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
-        names, scores = _predicted(sent.value, pa.RecordBatch.from_arrays([b[text_col]], ["text"]))
-        return b.filter(pa.array((scores >= least) & (np.array(names) != UNKNOWN)))
+        m = sent.value
+        if not m.langs:
+            return b.filter(pa.array([any(x.isalpha() for x in t or "") for t in b[text_col].to_pylist()], pa.bool_()))
+        names, _, gaps = _predicted(m, pa.RecordBatch.from_arrays([b[text_col]], ["text"]))
+        return b.filter(pa.array([n != UNKNOWN and g >= least_share * m.margin and (wanted is None or n in wanted) for n, g in zip(names, gaps, strict=True)], pa.bool_()))
 
     return c.mapped(docs, f, docs.schema, text_col)
