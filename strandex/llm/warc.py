@@ -4,7 +4,8 @@ A derivative refers to its response by WARC-Refers-To and keeps its target URI a
 block (application/warc-fields) holds the response's own WARC headers, its HTTP status and headers, its
 block and payload digests, and what the page says of itself; the conversion record's block is the
 page's text in UTF-8, with the source's payload digest beside the digest of the text. Identifiers are name-based, so the
-same response always gives the same derivatives. Rows are independent; nothing is shuffled.
+same response always gives the same derivatives. Chunked and compressed bodies are decoded first; what isn't text, or is
+encoded in a way not known here, has no conversion record. Rows are independent; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -83,18 +85,69 @@ def split_head(data: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
 
 
 def parse_records(data: bytes) -> Iterator[bytes]:
-    """Each record of an uncompressed WARC file, without the two line ends after it."""
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
+    """Each record of a WARC file, without the two line ends after it. Compressed members are opened one at a time."""
+    for part in _members(data) if data[:2] == b"\x1f\x8b" else [data]:
+        at = 0
+        while (at := part.find(b"WARC/", at)) >= 0:
+            end = part.find(b"\r\n\r\n", at)
+            if end < 0:
+                break
+            _, fields, _ = split_head(part[at : end + 4])
+            size = next((int(v) for k, v in fields if k.lower() == "content-length" and v.isdigit()), 0)
+            yield part[at : end + 4 + size]
+            at = end + 4 + size
+
+
+def _members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The contents of each gzip member; a broken one ends the file."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        d, out = zlib.decompressobj(31), []
+        try:
+            while at < len(view) and not d.eof:
+                out.append(d.decompress(view[at : at + step]))
+                at += step
+        except zlib.error:
             return
-        _, fields, _ = split_head(data[at : end + 4])
-        size = next((int(v) for k, v in fields if k.lower() == "content-length" and v.isdigit()), 0)
-        yield data[at : end + 4 + size]
+        at = min(at, len(view)) - len(d.unused_data)
+        yield b"".join(out)
+
+
+def decoded_body(http: list[tuple[str, str]], body: bytes) -> bytes | None:
+    """An HTTP body without its transfer and content encodings; None if they are not known or broken."""
+    head = {k.lower(): v.lower() for k, v in http}
+    try:
+        for name in ("transfer-encoding", "content-encoding"):
+            for kind in reversed([x.strip() for x in head.get(name, "").split(",")]):
+                if kind == "chunked":
+                    body = _dechunked(body)
+                elif kind in ("gzip", "x-gzip", "deflate"):
+                    raw = kind == "deflate" and (len(body) < 2 or body[0] & 15 != 8 or (body[0] * 256 + body[1]) % 31)
+                    body = zlib.decompressobj(-15 if raw else 47).decompress(body)
+                elif kind not in ("", "identity"):
+                    return None
+    except (zlib.error, ValueError):
+        return None
+    return body
+
+
+def _dechunked(body: bytes) -> bytes:
+    out, at = [], 0
+    while True:
+        end = body.index(b"\r\n", at)
+        size = int(body[at:end].split(b";")[0], 16)
+        if not size:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
         at = end + 4 + size
 
 
+def is_text(http: list[tuple[str, str]]) -> bool:
+    """Whether a body is text by its content type; without one it is."""
+    kind = next((v.lower().partition(";")[0].strip() for k, v in http if k.lower() == "content-type"), "")
+    return not kind or kind.startswith("text/") or any(x in kind for x in ("html", "xml", "json", "javascript"))
+
+
 def response(page_id: object, url: str | None, page: str | None, date: str = DATE) -> bytes:
     """A page of a table as a response record."""
     body = (page or "").encode()
@@ -106,7 +159,7 @@ def response(page_id: object, url: str | None, page: str | None, date: str = DAT
 def derive(record: bytes) -> list[tuple[str, bytes]]:
     """The (type, record) of each derivative of a response record; none for other records.
 
-    A response without an identifier or digests gets them from its content.
+    A response without an identifier or digests gets them from its content. Digests are of the body as it was sent.
     """
     _, fields, block = split_head(record)
     warc = {k.lower(): v for k, v in fields}
@@ -115,10 +168,11 @@ def derive(record: bytes) -> list[tuple[str, bytes]]:
     status, http, body = split_head(block)
     source, uri, date = warc.get("warc-record-id") or record_id("response", digest(block)), warc.get("warc-target-uri"), warc.get("warc-date", DATE)
     charset = next((m[1] for k, v in http if k.lower() == "content-type" and (m := _CHARSET.search(v))), "utf-8")
+    plain = decoded_body(http, body) if is_text(http) else None
     try:
-        page = body.decode(charset, "replace")
+        page = (plain or b"").decode(charset, "replace")
     except LookupError:
-        page = body.decode("utf-8", "replace")
+        page = (plain or b"").decode("utf-8", "replace")
     payload = warc.get("warc-payload-digest") or digest(body)
     title, lang = _TITLE.search(page), _LANG.search(page)
     notes = [
@@ -133,11 +187,11 @@ def derive(record: bytes) -> list[tuple[str, bytes]]:
     ]
     meta = "".join(f"{k}: {_line(v)}{CRLF}" for k, v in notes if v is not None).encode("utf-8", "replace")
     linked = [("WARC-Refers-To", source), ("WARC-Target-URI", uri), ("WARC-Date", date)]
-    text = plain_text(page).encode("utf-8", "replace")
-    return [
-        ("metadata", make_record("metadata", record_id("metadata", source), linked, "application/warc-fields", meta)),
-        ("conversion", make_record("conversion", record_id("conversion", source), [*linked, ("WARC-Source-Payload-Digest", payload)], "text/plain; charset=utf-8", text)),
-    ]
+    out = [("metadata", make_record("metadata", record_id("metadata", source), linked, "application/warc-fields", meta))]
+    if plain is not None:
+        text = plain_text(page).encode("utf-8", "replace")
+        out.append(("conversion", make_record("conversion", record_id("conversion", source), [*linked, ("WARC-Source-Payload-Digest", payload)], "text/plain; charset=utf-8", text)))
+    return out
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> DataFrame:
@@ -152,7 +206,8 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """(id, record) of uncompressed WARC files; id is the place in the file. A task holds one file at a time."""
+    """(id, record) of WARC files, plain or compressed record by record; id is the place in the file. A task holds one file as
+    it is stored, and one record opened."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,8 +231,9 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
 def derivatives(records: DataFrame) -> DataFrame:
     """(id, record_type, record_id, refers_to, target_uri, block_digest, source_payload_digest, content_length, record).
 
-    Takes rows (id, record); two rows for each response, none for other records or null ones.
-    source_payload_digest is the one the response states, or else the computed one.
+    Takes rows (id, record); two rows for each response, the metadata alone if its body is no text or can't be decoded,
+    none for other records or null ones. Ids don't matter: a null id and repeated rows get their own; an empty table gives
+    none. source_payload_digest is the one the response states, or else the computed one.
     """
     kind = records.schema["id"].dataType.simpleString()
 
@@ -186,12 +242,12 @@ def derivatives(records: DataFrame) -> DataFrame:
         for i, record in enumerate(b["record"].to_pylist()):
             made = derive(record) if record else []
             if made:
-                stated = {k.lower(): v for k, v in split_head(record)[1]}.get("warc-payload-digest")
+                _, fields, block = split_head(record)
+                payload = {k.lower(): v for k, v in fields}.get("warc-payload-digest") or digest(split_head(block)[2])
             for what, r in made:
                 _, fields, _ = split_head(r)
                 head = dict(fields)
                 at.append(i)
-                payload = stated or dict(split_head(made[1][1])[1])["WARC-Source-Payload-Digest"]
                 out.append((what, head["WARC-Record-ID"], head["WARC-Refers-To"], head.get("WARC-Target-URI"), head["WARC-Block-Digest"], payload, int(head["Content-Length"]), r.decode()))
         names = ["record_type", "record_id", "refers_to", "target_uri", "block_digest", "source_payload_digest", "content_length", "record"]
         kinds = [pa.string()] * 6 + [pa.int64(), pa.string()]
