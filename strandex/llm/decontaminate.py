@@ -26,7 +26,7 @@ BLOCK_BYTES = 16 << 20
 class Index:
     """Sorted window hashes of a block of items, by window length, with the items of each."""
 
-    def __init__(self, ids: list[int], texts: list[str | None]):
+    def __init__(self, ids: list, texts: list[str | None]):
         w = c.Words(*c.text_bytes(pa.array(texts, pa.string())), c.ALNUM)
         self.ids = ids
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -77,14 +77,14 @@ def _member(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
 
 
-def hits(index: Index, col: pa.Array) -> tuple[c.Words, np.ndarray, list[list[int]]]:
+def hits(index: Index, col: pa.Array) -> tuple[c.Words, np.ndarray, list[list]]:
     """The words of each text, which of them are hit, and each text's items."""
     w = c.Words(*c.text_bytes(col), c.ALNUM)
     at, n, key = index.windows(w)
     cover = np.zeros(len(w.hash) + 1, np.int64)
     np.add.at(cover, at, 1)
     np.add.at(cover, at + n, -1)
-    items: list[set[int]] = [set() for _ in range(len(col))]
+    items: list[set] = [set() for _ in range(len(col))]
     for d, m, x in {*zip(w.doc[at].tolist(), n.tolist(), key.tolist(), strict=True)}:
         _, first, item = index.by_length[m]
         items[d].update(index.ids[i] for i in item[first[x] : first[x + 1]].tolist())
@@ -93,7 +93,7 @@ def hits(index: Index, col: pa.Array) -> tuple[c.Words, np.ndarray, list[list[in
 
 def indexes(bench: DataFrame, id_col: str, text_col: str, block_bytes: int):
     """An index for each block of items; the number of blocks follows the items' bytes."""
-    items = bench.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    items = bench.select(c.id_column(bench, id_col)[0].alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
     for b in range(blocks):
@@ -116,10 +116,12 @@ def with_hits(docs: DataFrame, bench: DataFrame, text_col: str, item_col: str, i
     """
     names = docs.columns
     state = [c.unused(docs, x) for x in ("_words", "_hit", "_items", "_spans")]
+    _, kind, arrow = c.id_column(bench, item_col)
     none, zero = F.array().cast("array<long>"), F.lit(0).cast("long")
-    found = docs.select(*names, *(x.alias(y) for x, y in zip((zero, zero, none, none), state, strict=True)))
+    found = docs.select(*names, *(x.alias(y) for x, y in zip((zero, zero, F.array().cast(f"array<{kind}>"), none), state, strict=True)))
     for k, index in enumerate(indexes(bench, item_col, item_text_col, block_bytes)):
         sent = docs.sparkSession.sparkContext.broadcast(index)
+        found = c.scratch(found) if k else found
 
         def f(b: pa.RecordBatch, sent=sent, first=not k) -> pa.RecordBatch:
             w, hit, items = hits(sent.value, b[text_col])
@@ -132,7 +134,7 @@ def with_hits(docs: DataFrame, bench: DataFrame, text_col: str, item_col: str, i
             d, n = w.doc[start], len(w.count)
             flat = np.stack((start - w.first[d], end - w.first[d]), 1).ravel()
             n_hit = np.bincount(w.doc[hit], minlength=n).astype(np.int64)
-            cols = [pa.array(w.count), pa.array(n_hit), pa.array(items, pa.list_(pa.int64())), c.list_array(flat, 2 * np.bincount(d, minlength=n), pa.int64())]
+            cols = [pa.array(w.count), pa.array(n_hit), pa.array(items, pa.list_(arrow)), c.list_array(flat, 2 * np.bincount(d, minlength=n), pa.int64())]
             return pa.RecordBatch.from_arrays([*(b[x] for x in names), *cols], [*names, *state])
 
         found = c.mapped(found, f, found.schema, text_col)

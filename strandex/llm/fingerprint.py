@@ -94,7 +94,8 @@ def likeness(rows: int, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint) for each row; a null text counts as empty. Nothing is shuffled."""
+    """(id, fingerprint) for each row, repeated ones each; a null text counts as empty and an empty table gives none. Ids are of
+    any type. Nothing is shuffled."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -133,8 +134,9 @@ def edited_by_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Each text's fingerprint beside that of the text with its second half taken from the next document.
 
     Returns (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next). Null
-    texts count as empty; two empty fingerprints are alike (1). Rows go by id, null first, and rows
-    with equal ids by text. Sorted ranges are read as a stream that looks one row ahead.
+    texts count as empty; two empty fingerprints are alike (1). Rows go by id, a whole number, null first, and rows
+    with equal ids by text, so repeated rows follow one another, in one range. An empty table gives none. Sorted ranges
+    are read as a stream that looks one row ahead.
     """
 
     def digest(rows: list[tuple]) -> pa.RecordBatch:

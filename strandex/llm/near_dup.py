@@ -34,6 +34,8 @@ from . import common as c
 from .graph import components
 
 SLOTS, BANDS = 128, 32
+#: Shingles whose offers are made at once; each takes SLOTS bytes.
+OFFERS = 1 << 18
 #: Shingles compared in one block, at least and at most.
 BLOCK = 16_000, 1_000_000
 #: Shingles that one in so many documents of a group has come last in the order of the prefix filter.
@@ -64,7 +66,19 @@ def shingle_sets(col: pa.Array, k: int, table: np.ndarray) -> tuple[np.ndarray,
 
 
 def super_min_hash(h: np.ndarray, counts: np.ndarray, m: int = SLOTS) -> np.ndarray:
-    """Signatures (rows, m) of sets given by their hashes, row after row."""
+    """Signatures (rows, m) of sets given by their hashes, row after row.
+
+    Large batches are done in parts: the signature of a union is the least of its parts' signatures.
+    """
+    if len(h) > OFFERS:
+        ends, out = np.cumsum(counts), np.full((len(counts), m), 0xFFFFFFFFFFFFFFFF, np.uint64)
+        for at in range(0, len(h), OFFERS):
+            to = min(at + OFFERS, len(h))
+            i, j = (int(np.searchsorted(ends, x, "right")) for x in (at, to - 1))
+            own = np.minimum(ends[i : j + 1], to) - np.maximum(ends[i : j + 1] - counts[i : j + 1], at)
+            some = np.flatnonzero(own > 0)
+            out[i + some] = np.minimum(out[i + some], super_min_hash(h[at:to], own[some], m))
+        return out
     n, top = len(counts), np.uint64(0xFFFFFFFFFFFFFFFF)
     sig = np.full(n * m, top, np.uint64)
     doc = np.repeat(np.arange(n), counts)

@@ -163,7 +163,9 @@ def pack(docs: DataFrame, paths: tuple[str, str, str] | None = None, id_col: str
     group = F.expr("task div 1024")
     within = fulls.withColumn("g", group).withColumn("b", F.sum("fulls").over(Window.partitionBy("g").orderBy("task")) - F.col("fulls"))
     groups = within.groupBy("g").agg(F.sum("fulls").alias("t")).withColumn("a", F.sum("t").over(Window.orderBy("g")) - F.col("t"))
-    bases = within.join(groups, "g").select("task", (F.col("a") + F.col("b")).alias("full_base"))
+    bases = within.join(groups.hint("merge"), "g").select("task", (F.col("a") + F.col("b")).alias("full_base"))
+    # all that grows with the input is joined by merging, at every size
+    starts = c.scratch(tails.join(bases.hint("merge"), "task"))
 
     counts, many = np.zeros(CONTEXT, np.int64), 0
     for r in by_task.groupBy("tail").agg(F.sum("many").alias("n"), F.sum("fulls").alias("f")).collect():
@@ -171,7 +173,7 @@ def pack(docs: DataFrame, paths: tuple[str, str, str] | None = None, id_col: str
     counts[0] = 0
     plan = spark.sparkContext.broadcast(make_plan(counts, many, step_tokens))
     kind = rows.schema["id"].dataType.simpleString()
-    placed = rows.join(tails, ["task", "tail"]).join(bases, "task")
+    placed = rows.join(starts.hint("merge"), ["task", "tail"])
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
         return _pieces(plan.value, b)

@@ -2,8 +2,8 @@
 
 A rule is (host, path, verdict). It fits a url whose host is the rule's or a subdomain and whose path starts
 with the rule's path. Of the rules that fit, the one with more host labels wins, then the longer path;
-of equal rules a block wins. Rules are sent in blocks of bounded size, each one pass over the urls,
-which keeps the best rule so far.
+of equal rules a block wins. Rules are sent in blocks of bounded size, each one pass over the urls that keeps the best
+rule so far; what a block has found is written before the next one, so one block's trie is in memory at a time.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from . import common as c
 
 #: Rules in one broadcast trie; a rule of some 50 bytes takes about 1 KB there.
 BLOCK_RULES = 100_000
+#: Characters of the rules in one trie, for each rule that a block may have.
+RULE_CHARS = 64
 
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -83,29 +85,28 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     """(id, host, path, rule, verdict) for each row of pages; rules has host, path and verdict.
 
     Without a fitting rule, as for a null url, rule is null and the verdict is the default. Rules with a
-    null are passed over. Only the id and url columns are read.
+    null are passed over. Ids don't matter: a null id and rows that repeat one get their own rows. An empty table gives
+    none, and an empty table of rules the default. Only the id and url columns are read.
     """
     rules = rules.select("host", "path", "verdict").dropna()
-    blocks = -(-rules.count() // block_rules) or 1
+    many, chars = rules.agg(F.count("*"), F.sum(F.length("host") + F.length("path"))).first()
+    blocks = max(1, -(-many // block_rules), -(-(chars or 0) // (RULE_CHARS * block_rules)))
     key = F.pmod(F.xxhash64("host", "path"), F.lit(blocks))
     kind = pages.schema[id_col].dataType.simpleString()
-    out = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.lit(0).alias("labels"), F.lit(0).alias("chars"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    out = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
+    names = ["id", "host", "path", "labels", "chars", "rule", "verdict"]
     for n in range(blocks):
         sent = pages.sparkSession.sparkContext.broadcast(Trie([tuple(r) for r in rules.where(key == n).collect()]))
 
-        def f(b: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
+        def f(b: pa.RecordBatch, sent=sent, first=not n) -> pa.RecordBatch:
             trie, rows = sent.value, []
-            for url, *had in zip(*(b[x].to_pylist() for x in ("url", "labels", "chars", "rule", "verdict")), strict=True):
-                found = trie.best(*split_url(url))
-                rows.append(found if found and (had[2] is None or found[:2] > tuple(had[:2])) else had)
-            kinds = [pa.int32(), pa.int32(), pa.string(), pa.string()]
-            cols = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            return pa.RecordBatch.from_arrays([b["id"], b["url"], *cols], ["id", "url", "labels", "chars", "rule", "verdict"])
-
-        out = c.mapped(out, f, f"id {kind}, url string, labels int, chars int, rule string, verdict string")
-
-    def parts(b: pa.RecordBatch) -> pa.RecordBatch:
-        host, path = zip(*map(split_url, b["url"].to_pylist()), strict=True)
-        return pa.RecordBatch.from_arrays([b["id"], pa.array(host, pa.string()), pa.array(path, pa.string()), b["rule"], b["verdict"]], ["id", "host", "path", "rule", "verdict"])
-
-    return c.mapped(out, parts, f"id {kind}, host string, path string, rule string, verdict string")
+            parts = map(split_url, b["url"].to_pylist()) if first else zip(*(b[x].to_pylist() for x in ("host", "path")), strict=True)
+            before = [(0, 0, None, default)] * b.num_rows if first else zip(*(b[x].to_pylist() for x in names[3:]), strict=True)
+            for (host, path), had in zip(parts, before, strict=True):
+                found = trie.best(host, path)
+                rows.append((host, path, *(found if found and (had[2] is None or found[:2] > had[:2]) else had)))
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+            return pa.RecordBatch.from_arrays([b["id"], *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], names)
+
+        out = c.mapped(c.scratch(out) if n else out, f, f"id {kind}, host string, path string, labels int, chars int, rule string, verdict string")
+    return out.drop("labels", "chars")

@@ -432,6 +432,123 @@ def test_warc_records(spark, tmp_path):
     assert warc.derive(latin)[1][1].endswith("é".encode())
 
 
+def test_warc_bodies(spark, tmp_path):
+    """Compressed files, and bodies that are chunked, compressed, of no known encoding, or no text."""
+    import gzip
+    import zlib
+
+    page = "<title>t</title><p>one two" * 50
+    sent = gzip.compress(page.encode())
+    chunked = b"".join(f"{len(x):x}\r\n".encode() + x + b"\r\n" for x in (sent[:20], sent[20:])) + b"0\r\n\r\n"
+    bodies = [
+        ("Content-Type: text/html\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip", chunked), ("Content-Encoding: deflate", zlib.compress(page.encode())),
+        ("Content-Encoding: deflate", zlib.compress(page.encode())[2:-4]), ("Content-Type: image/png", b"\x89PNG"), ("Content-Encoding: br", b"?"), ("Content-Encoding: gzip", b"broken"),
+    ]
+    records = [warc.make_record("response", f"<urn:{i}>", [], "application/http", f"HTTP/1.1 200 OK\r\n{h}\r\n\r\n".encode() + b) for i, (h, b) in enumerate(bodies)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r + b"\r\n\r\n") for r in records))
+    assert list(warc._members((tmp_path / "a.warc.gz").read_bytes(), 7)) == [r + b"\r\n\r\n" for r in records]
+    out = warc.derivatives(warc.read_responses(spark, str(tmp_path / "a.warc.gz"))).collect()
+    kinds = {}
+    for r in out:
+        kinds.setdefault(r["refers_to"], []).append(r["record_type"])
+        assert r["source_payload_digest"] == warc.digest(bodies[int(r["refers_to"][5:-1])][1])
+    assert kinds == {f"<urn:{i}>": ["metadata", "conversion"] if i < 3 else ["metadata"] for i in range(6)}
+    assert {r["record"].split("\r\n\r\n", 1)[1] for r in out if r["record_type"] == "conversion"} == {warc.plain_text(page)}
+
+
+def test_signature_of_a_long_set(monkeypatch):
+    rng = np.random.default_rng(2)
+    counts = np.array([3, 500, 1, 200, 40])
+    h = rng.integers(0, 2**63, counts.sum()).astype(np.uint64)
+    whole = near_dup.super_min_hash(h, counts)
+    monkeypatch.setattr(near_dup, "OFFERS", 64)
+    assert (near_dup.super_min_hash(h, counts) == whole).all()
+
+
+def test_long_text_counts(monkeypatch):
+    text = "".join(random.Random(1).choice("ab \n\u00e9\u4e2d\U0001f600XY.") for _ in range(3000))
+    data = pa.array([text, "", "ab", None, text[:700]], pa.string())
+    whole, (x, row, size) = language.text_counts(data), quality.line_features(data)
+    monkeypatch.setattr(common, "WINDOW", 101)
+    assert (language.text_counts(data) == whole).all() and whole.sum() > 0
+    cut = quality.line_features(data)
+    assert np.allclose(cut[0], x) and (cut[1] == row).all() and (cut[2] == size).all()
+
+
+def test_lines_are_latent():
+    """Lines of documents of which a bad one has good lines too: their states are found, and the shares hold."""
+    rng = np.random.default_rng(5)
+    row = np.repeat(np.arange(200), 10)
+    labels = (np.arange(200) % 2).astype(np.int64)
+    state = np.where(labels[row] == 1, 1, (np.arange(2000) % 10 < 4).astype(np.int64))
+    x = rng.normal(0, 0.3, (2000, quality.FEATURES)).astype(np.float32)
+    x[:, 0] += state
+    size = np.full(2000, 30.0)
+    m = quality.fit(x, row, size, labels)
+    assert ((m.marginals(x, row) > 0.5) == state).mean() > 0.9
+    v = (quality.chain_inputs(x, row) - m.mean) / m.scale
+    assert np.allclose(v @ m.weights, m.logits(x, row), atol=1e-3)
+    y, _ = quality.expected(m.logits(x, row), row, size, m.trans, labels)
+    share = quality.shares(y, row, size, 200)
+    assert (share[labels == 1] > quality.GOOD_SHARE - 0.01).all() and (share[labels == 0] < quality.BAD_SHARE + 0.01).all()
+
+
+def test_spliced_documents(spark):
+    """Lines of documents put together from a good and a bad one."""
+    from strandex.llm.queries import fold
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    model = quality.train(docs, labels, fold(5) != 0)
+    held = docs.join(labels, "doc_id").where(fold(5) == 0).where("length(text) between 1 and 20000").select("quality", "text").collect()
+    good, bad = ([r["text"] for r in held if r["quality"] == q] for q in (1, 0))
+    both = [(i, f"{a}\n{b}" if i % 2 else f"{b}\n{a}", len((a if i % 2 else b).encode())) for i, (a, b) in enumerate(zip(good, bad, strict=False))]
+    cut = {i: n for i, _, n in both}
+    found = quality.lines(spark.createDataFrame([x[:2] for x in both], "doc_id long, text string"), model).collect()
+    right = [(r["good"] > 0.5) == ((r["start"] < cut[r["id"]]) == (r["id"] % 2 == 1)) for r in found]
+    assert len(both) > 10 and np.mean(right) > 0.85
+
+
+def test_ftrl_plainly():
+    """Two steps against the update rules written out for each weight."""
+    rows, labels = [(np.array([3, 7]), np.array([0.6, 0.8])), (np.array([3]), np.array([1.0]))], np.array([1, 0])
+    w, bias = language.ftrl(rows, labels, 2, epochs=1)
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.02, 0.02
+    z, n = {}, {}
+
+    def weight(i, k):
+        v = z.get((i, k), 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - np.sign(v) * l1) / ((beta + n[i, k] ** 0.5) / alpha + l2)
+
+    for r in np.random.default_rng(0).permutation(2):
+        at, value = [*rows[r][0].tolist(), language.BUCKETS], [*rows[r][1].tolist(), 1.0]
+        now = [[weight(i, k) for k in (0, 1)] for i in at]
+        score = [sum(v * x[k] for v, x in zip(value, now, strict=True)) for k in (0, 1)]
+        p = np.exp(score) / np.exp(score).sum()
+        for i, v, x in zip(at, value, now, strict=True):
+            for k in (0, 1):
+                g = v * (p[k] - (k == labels[r]))
+                had = n.get((i, k), 0.0)
+                n[i, k] = had + g * g
+                z[i, k] = z.get((i, k), 0.0) + g - (n[i, k] ** 0.5 - had**0.5) / alpha * x[k]
+    for i in (3, 7):
+        assert w[i].tolist() == pytest.approx([weight(i, k) for k in (0, 1)])
+    assert bias.tolist() == pytest.approx([weight(language.BUCKETS, k) for k in (0, 1)]) and np.count_nonzero(np.delete(w, [3, 7], 0)) == 0
+
+
+def test_one_block_live(spark, hard):
+    """A plan holds one block's pass, however many blocks there are; packing broadcasts nothing that grows."""
+    docs, bench = (spark.read.parquet(f"{hard}/{x}.parquet") for x in ("documents", "benchmark"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(decontaminate.contamination(docs, bench, block_bytes=20)).count("MapInArrow") == 1
+    rules = spark.createDataFrame([(f"{k}.net", "/", "block") for k in range(40)], "host string, path string, verdict string")
+    pages = spark.read.parquet(f"{hard}/pages.parquet")
+    assert plan(url_filter.judge(pages, rules, block_rules=4)).count("MapInArrow") == 1
+    assert "Broadcast" not in plan(packing.pack(docs))
+    items = spark.createDataFrame([("x", "fox JUMPS over"), ("y", None)], "item_id string, text string")
+    assert {tuple(r["items"]) for r in decontaminate.contamination(docs, items).collect()} == {(), ("x",)}
+
+
 def test_tokens_equal_tokenizers():
     from tokenizers import Tokenizer
 

@@ -1,9 +1,11 @@
 """Each query against its SQL or against a plain computation, on given, hard and empty tables."""
 
+import base64
 import hashlib
 import re
 import zlib
 from collections import defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -84,10 +86,30 @@ def test_op2(spark, tables):
     assert any(x[5] for x in want)
 
 
+def plain_fingerprint(text, k=12, w=24):
+    """The bytes of the grams that winnowing keeps, by a rolling hash written out; equal grams are one."""
+    raw, mask = text.encode(), 2**64 - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    base = 0x9E3779B97F4A7C15
+    value = [mix((i + 1) * base & mask) for i in range(256)]
+    grams = [raw[i : i + k] for i in range(max(1, len(raw) - k + 1))] if raw else []
+    keys = [mix(sum(value[x] * pow(base, j, 2**64) for j, x in enumerate(g)) & mask) >> 32 for g in grams]
+    kept = set()
+    for i in range(max(1, len(keys) - w + 1) if keys else 0):
+        kept.add(max(j for j in range(i, min(i + w, len(keys))) if keys[j] == min(keys[i : i + w])))
+    return {grams[j] for j in kept}
+
+
 def test_op3(spark, tables):
     from strandex.llm.fingerprint import decoded
 
     docs = sorted(((-(2**63) if i is None else i, t or "") for i, t in read(tables, "documents", "doc_id", "text")))
+    plain = {t: plain_fingerprint(t) for _, t in docs if len(t) < 5000}
     found = defaultdict(list)
     for r in rows(spark, tables, "op3_fingerprint"):
         found[r["doc_id"] if r["doc_id"] is not None else -(2**63)].append(r)
@@ -102,6 +124,9 @@ def test_op3(spark, tables):
         a, b = (set(decoded(x)[1].tolist()) for x in (r["fingerprint"], r["edited_fingerprint"]))
         assert r["near_edited"] == pytest.approx(len(a & b) / len(a | b) if a | b else 1)
         assert 0 <= r["near_next"] <= 1
+        if t in plain and after in plain:
+            a, b = plain[t], plain[after]
+            assert r["near_next"] == pytest.approx(len(a & b) / len(a | b) if a | b else 1)
     assert not any(found.values())
 
 
@@ -154,25 +179,75 @@ def test_op5(spark, tables):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
-def test_op6(spark, tables):
-    from strandex.llm import warc
+def plain_record(raw):
+    """(version, fields, block) of a record, by its own rules: lines that end in CR LF, a blank one, then the block."""
+    lines, rest = [], raw
+    while True:
+        at = rest.index(b"\r\n")
+        line, rest = rest[:at], rest[at + 2 :]
+        if not line:
+            return lines[0], dict(x.split(": ", 1) for x in lines[1:]), rest
+        lines.append(line.decode())
+
+
+def sha1(data):
+    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+class Text(HTMLParser):
+    """A page's text by the standard parser: no hidden element's content, a line for each block."""
 
+    BLOCK = {"p", "div", "br", "title", "html", "head", "body", "h1", "h2", "h3", "li", "ul", "ol", "table", "tr", "td", "nav", "footer", "header", "main", "article", "section", "blockquote", "pre", "form", "aside"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style")
+        self.out.append("\n" if tag in self.BLOCK else "")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style") and self.hidden > 0
+        self.out.append("\n" if tag in self.BLOCK else "")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data)
+
+    def words(self, page):
+        self.feed(page)
+        self.close()
+        return "".join(self.out).split()
+
+
+def test_op6(spark, tables):
     pages = read(tables, "pages", "page_id", "url", "html")
     found = rows(spark, tables, "op6_warc_derivatives")
     assert len(found) == 2 * len(pages)
     by = defaultdict(list)
     for r in found:
-        by[r["page_id"], r["target_uri"]].append(r)
+        by[r["page_id"], r["target_uri"], r["source_payload_digest"]].append(r)
     for i, url, page in pages:
-        uri = None if url is None else url.replace("\n", " ")
-        first, fields, block = warc.split_head(warc.response(i, url, page))
-        source = dict(fields)
-        own = [r for r in by[i, uri] if r["refers_to"] == source["WARC-Record-ID"] and r["source_payload_digest"] == source["WARC-Payload-Digest"]]
-        assert {r["record_type"] for r in own} == {"metadata", "conversion"}
-        assert source["WARC-Payload-Digest"] == warc.digest((page or "").encode()) and source["WARC-Block-Digest"] == warc.digest(block)
+        uri, body = None if url is None else url.replace("\n", " "), (page or "").encode()
+        own = by[i, uri, sha1(body)]
+        assert {r["record_type"] for r in own} == {"metadata", "conversion"} and len({r["refers_to"] for r in own}) == 1
         for r in own:
-            _, head, body = warc.split_head(r["record"].encode())
-            assert len(body) == r["content_length"] and warc.digest(body) == r["block_digest"] == dict(head)["WARC-Block-Digest"]
+            version, head, block = plain_record(r["record"].encode())
+            assert version == "WARC/1.0" and head["WARC-Type"] == r["record_type"] and head["WARC-Refers-To"] == r["refers_to"] and head.get("WARC-Target-URI") == uri
+            assert re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", head["WARC-Record-ID"]) and head["WARC-Record-ID"] == r["record_id"] != r["refers_to"]
+            assert int(head["Content-Length"]) == len(block) == r["content_length"] and head["WARC-Block-Digest"] == sha1(block) == r["block_digest"]
+            if r["record_type"] == "metadata":
+                lines = block.decode().split("\r\n")
+                source = [x for x in lines if x.startswith("source-WARC-")]
+                assert f"source-WARC-Payload-Digest: {sha1(body)}" in source and f"source-WARC-Record-ID: {r['refers_to']}" in source and "http-status-line: HTTP/1.1 200 OK" in lines
+                sent = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
+                assert f"source-WARC-Block-Digest: {sha1(sent)}" in source
+            else:
+                assert head["WARC-Source-Payload-Digest"] == sha1(body)
+                if tables == SF:
+                    assert block.decode().split() == Text().words(page or "")
+    assert len({r["record_id"] for r in found}) == len({(r["page_id"], r["target_uri"], r["record_type"]) for r in found})
 
 
 def brute_passages(docs, n=51):
