@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,10 +51,15 @@ def _path(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+#: The tables that each open scratch_scope() has to delete.
+_scopes: list[list[DataFrame]] = []
+
+
 def scratch(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again.
 
-    This cuts lineage and survives lost executors. The folder goes when the driver's JVM ends, or with drop().
+    This cuts lineage and survives lost executors. The folder goes with the scratch_scope() around it, with drop(), or
+    when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
@@ -61,9 +68,34 @@ def scratch(df: DataFrame) -> DataFrame:
     store.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch_scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what scratch() wrote inside it, but for tables handed to the function that it gives; those
+    are left to the scope around."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _scopes.append(made)
+    try:
+        yield keep
+    finally:
+        _scopes.remove(made)
+        for df in made:
+            if not any(df is k for k in kept):
+                drop(df)
+        if _scopes:
+            _scopes[-1].extend(kept)
+
+
 def drop(df: DataFrame) -> None:
     """Deletes what scratch() wrote for df, which nothing may read any more."""
     where, store = _path(df.sparkSession, df._scratch)
