@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from strandex.runtime import drop, scratch, shared_folder, ship  # noqa: F401  the operators take them from here
+from strandex.runtime import scratch, scratch_scope, ship  # noqa: F401  the operators take them from here
 
 #: Rows of one Arrow batch.
 BATCH_ROWS = 256

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from strandex.runtime import drop
+
+from .common import scratch, scratch_scope
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,9 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     neighbour until every node points at its root. A hub's minimum is combined before the
     shuffle and its edges are read by a join that Spark can split, so no task holds a hub.
     """
-    e = scratch(
-        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    )
+    with scratch_scope() as keep:
+        e = keep(scratch(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()))
     before = None
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -26,19 +27,25 @@ def components(edges: DataFrame) -> DataFrame:
                 e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
             )
         before = now
-        # written, so that the join below reads plain exchanges and a hub's edges can be split among tasks
-        least = scratch(
-            e.select(F.col("a").alias("u"), "b")
-            .unionByName(e.select(F.col("b").alias("u"), "b"))
-            .groupBy("u")
-            .agg(F.min("b").alias("m"))
-        )
-        large = e.join(least.hint("merge"), e.b == least.u).select("a", F.col("m").alias("b")).distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        e = scratch(
-            large.join(small, "a")
-            .where("b <> m")
-            .select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(small.select("a", F.col("m").alias("b")))
-            .distinct()
-        )
+        with scratch_scope() as keep:
+            last, e = e, keep(_round(e))
+        drop(last)
+
+
+def _round(e: DataFrame) -> DataFrame:
+    # written, so that the join below reads plain exchanges and a hub's edges can be split among tasks
+    least = scratch(
+        e.select(F.col("a").alias("u"), "b")
+        .unionByName(e.select(F.col("b").alias("u"), "b"))
+        .groupBy("u")
+        .agg(F.min("b").alias("m"))
+    )
+    large = e.join(least.hint("merge"), e.b == least.u).select("a", F.col("m").alias("b")).distinct()
+    small = large.groupBy("a").agg(F.min("b").alias("m"))
+    return scratch(
+        large.join(small, "a")
+        .where("b <> m")
+        .select(F.col("b").alias("a"), F.col("m").alias("b"))
+        .unionByName(small.select("a", F.col("m").alias("b")))
+        .distinct()
+    )
