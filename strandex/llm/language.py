@@ -7,8 +7,8 @@ pay are exactly zero; a temperature fitted on an eighth of the sample, left out
 the scores. The model is a few arrays of fixed size (BUCKETS x languages).
 
 A text in none of the learnt languages is still likeliest in one of them, and the calibrated score can be high. What tells
-it is the margin, the uncalibrated log odds of the best language against the second: accepted() wants a share
-of the margin that left-out texts have in the middle.
+it is the evidence, what its n-grams alone say for the best language, uncalibrated and without the languages' biases:
+accepted() wants a share of the evidence that left-out texts have in the middle. Texts in several learnt languages have it.
 """
 
 from __future__ import annotations
@@ -102,8 +102,8 @@ class Model:
     temperature: float = 1.0
     #: Share of the left-out texts that are told right; 0 if there are none.
     accuracy: float = 0.0
-    #: The middle margin of the left-out texts, or of the texts learnt from if none is left out.
-    margin: float = 0.0
+    #: The middle of the best languages' evidence in left-out texts, or in the texts learnt from if none is left out.
+    usual: float = 0.0
 
     def values(self, counts: np.ndarray) -> np.ndarray:
         """TF-IDF rows of unit length from counts (rows, buckets)."""
@@ -118,14 +118,6 @@ class Model:
         return softmax((evidence + self.bias) / self.temperature)
 
 
-def margins(x: np.ndarray) -> np.ndarray:
-    """By how much the best column exceeds the second; the column itself if there is one."""
-    if x.shape[1] < 2:
-        return x[:, 0]
-    two = np.partition(x, -2, 1)[:, -2:]
-    return two[:, 1] - two[:, 0]
-
-
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(-1, keepdims=True))
     return e / e.sum(-1, keepdims=True)
@@ -208,7 +200,7 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     left_out = np.arange(len(data)) % 8 == 7
     model.weights, model.bias = ftrl([x for x, o in zip(data, left_out, strict=True) if not o], labels[~left_out], len(langs))
     evidence = np.array([v @ model.weights[i] for (i, v), o in zip(data, left_out, strict=True) if o or not left_out.any()]).reshape(-1, len(langs))
-    model.margin = float(np.median(margins(evidence))) if len(evidence) else 0.0
+    model.usual = float(np.median(evidence.max(1))) if len(evidence) else 0.0
     if left_out.any():
         logits = evidence + model.bias
         model.temperature = temperature(logits, labels[left_out])
@@ -224,8 +216,8 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def _predicted(model: Model, b: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Each row's language, its probability, and its margin."""
-    names, scores, gaps = [], [], []
+    """Each row's language, its probability, and the evidence for it."""
+    names, scores, found = [], [], []
     for part, counts in _slices(b):
         buf, off = c.text_bytes(part["text"])
         some = np.array([((buf[x:y] | 32) - np.uint8(97) < 26).any() for x, y in zip(off, off[1:], strict=False)])
@@ -236,12 +228,12 @@ def _predicted(model: Model, b: pa.RecordBatch) -> tuple[list[str], np.ndarray,
             p = model.probabilities(evidence)
             names += [model.langs[k] if s else UNKNOWN for k, s in zip(p.argmax(1), some, strict=True)]
             scores.append(np.where(some, p.max(1), 0.0))
-            gaps.append(margins(evidence))
+            found.append(evidence.max(1))
         else:
             names += [UNKNOWN] * part.num_rows
             scores.append(np.zeros(part.num_rows))
-            gaps.append(np.zeros(part.num_rows))
-    return names, np.concatenate(scores).astype(np.float64), np.concatenate(gaps)
+            found.append(np.zeros(part.num_rows))
+    return names, np.concatenate(scores).astype(np.float64), np.concatenate(found)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,7 +253,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def accepted(docs: DataFrame, model: Model, least_share: float, wanted: tuple[str, ...] | None = None, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose language is known, with a margin of least_share of the model's at least, and one
+    """The rows of docs, all columns, whose language is known, with evidence of least_share of the usual at least, and one
     of those wanted, if any are named. Without a learnt language every text with a letter is accepted."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -269,7 +261,7 @@ def accepted(docs: DataFrame, model: Model, least_share: float, wanted: tuple[st
         m = sent.value
         if not m.langs:
             return b.filter(pa.array([any(x.isalpha() for x in t or "") for t in b[text_col].to_pylist()], pa.bool_()))
-        names, _, gaps = _predicted(m, pa.RecordBatch.from_arrays([b[text_col]], ["text"]))
-        return b.filter(pa.array([n != UNKNOWN and g >= least_share * m.margin and (wanted is None or n in wanted) for n, g in zip(names, gaps, strict=True)], pa.bool_()))
+        names, _, found = _predicted(m, pa.RecordBatch.from_arrays([b[text_col]], ["text"]))
+        return b.filter(pa.array([n != UNKNOWN and e >= least_share * m.usual and (wanted is None or n in wanted) for n, e in zip(names, found, strict=True)], pa.bool_()))
 
     return c.mapped(docs, f, docs.schema, text_col)
