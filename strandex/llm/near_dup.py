@@ -259,21 +259,21 @@ def _with_sets(docs: DataFrame, places: DataFrame, k: int, table: np.ndarray) ->
 
 
 def _group_counts(held: DataFrame) -> DataFrame:
-    """(leader, shingle, n): in how many of a group's rows each shingle is. Each batch sends its sums."""
+    """(leader, shingle, n, docs): in how many of a group's docs rows each shingle is. Each batch sends its sums."""
     kind, arrow = c.id_column(held, "leader")[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            by: dict[object, list[np.ndarray]] = {}
-            for leader, raw in zip(b["leader"].to_pylist(), b["shingles"].to_pylist(), strict=True):
-                by.setdefault(leader, []).append(np.frombuffer(raw, np.int64))
-            for leader, own in by.items():
+            by: dict[tuple, list[np.ndarray]] = {}
+            for *key, raw in zip(*(b[x].to_pylist() for x in ("leader", "docs", "shingles")), strict=True):
+                by.setdefault(tuple(key), []).append(np.frombuffer(raw, np.int64))
+            for (leader, docs), own in by.items():
                 h, n = np.unique(np.concatenate(own), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([leader] * len(h), arrow), pa.array(h), pa.array(n)], ["leader", "shingle", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([leader] * len(h), arrow), pa.array(h), pa.array(n), pa.array([docs] * len(h), pa.int64())], ["leader", "shingle", "n", "docs"])
 
     c.tune(held.sparkSession)
-    found = held.select("leader", "shingles").mapInArrow(run, f"leader {kind}, shingle long, n long")
-    return found.groupBy("leader", "shingle").agg(F.sum("n").alias("n"))
+    found = held.select("leader", "docs", "shingles").mapInArrow(run, f"leader {kind}, shingle long, n long, docs long")
+    return found.groupBy("leader", "shingle").agg(F.sum("n").alias("n"), F.first("docs").alias("docs"))
 
 
 def _prefixes(held: DataFrame, num: int, den: int) -> DataFrame:
@@ -312,7 +312,7 @@ def _across(rows: DataFrame, total: DataFrame, links: DataFrame, num: int, den:
     if main.isEmpty():
         return None
     held = c.scratch(held.join(main.hint("merge"), "leader").withColumn("rest", F.col("part") != F.col("main")).drop("main"))
-    often = _group_counts(held).join(main.select("leader", "docs").hint("merge"), "leader").where(F.col("n") * COMMON >= F.col("docs"))
+    often = _group_counts(held).where(F.col("n") * COMMON >= F.col("docs"))  # some COMMON times a row's shingles at most
     common = c.scratch(often.groupBy("leader").agg(F.collect_list("shingle").alias("common")))
     shown = c.scratch(_prefixes(held.join(common.hint("merge"), "leader", "left").select("leader", "block", "id", "rest", "common", "shingles"), num, den))
     where = c.scratch(shown.groupBy("leader", "shingle", "shown").agg(F.collect_set("block").alias("to")).withColumnRenamed("shown", "other"))
