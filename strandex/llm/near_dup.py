@@ -298,6 +298,19 @@ def _prefixes(held: DataFrame, num: int, den: int) -> DataFrame:
     return c.mapped(held, f, f"leader {kind}, block long, id {kind}, rest boolean, shown boolean, shingle long")
 
 
+def _meetings(shown: DataFrame) -> DataFrame:
+    """(leader, id, to), once each: the other blocks where a partner of a rest row can be, from rows of _prefixes.
+
+    A row's shingles lead to much the same blocks, so their sets are joined before they become rows: a group of n rows
+    outside its main part and b blocks gives n * (b - 1) at most, whatever its shingles.
+    """
+    where = c.scratch(shown.groupBy("leader", "shingle", "shown").agg(F.sort_array(F.collect_set("block")).alias("to")).withColumnRenamed("shown", "other"))
+    meet = shown.where("rest").join(where.hint("merge"), ["leader", "shingle"]).where("shown or other")
+    sets = meet.groupBy("leader", "id", "block").agg(F.collect_set("to").alias("sets"))
+    to = F.array_except(F.flatten("sets"), F.array("block"))
+    return sets.select("leader", "id", F.explode(to).alias("to"))
+
+
 def _across(rows: DataFrame, total: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame | None:
     """Links between blocks of a group, or None if no group needs any.
 
@@ -315,10 +328,7 @@ def _across(rows: DataFrame, total: DataFrame, links: DataFrame, num: int, den:
     often = _group_counts(held).where(F.col("n") * COMMON >= F.col("docs"))  # some COMMON times a row's shingles at most
     common = c.scratch(often.groupBy("leader").agg(F.collect_list("shingle").alias("common")))
     shown = c.scratch(_prefixes(held.join(common.hint("merge"), "leader", "left").select("leader", "block", "id", "rest", "common", "shingles"), num, den))
-    where = c.scratch(shown.groupBy("leader", "shingle", "shown").agg(F.collect_set("block").alias("to")).withColumnRenamed("shown", "other"))
-    meet = shown.where("rest").join(where.hint("merge"), ["leader", "shingle"]).where("shown or other")
-    meet = meet.select("leader", "id", "block", F.explode("to").alias("to")).where("to <> block").select("leader", "id", "to").distinct()
-    rest = c.scratch(meet.join(held.where("rest").drop("block").hint("merge"), ["leader", "id"]))
+    rest = c.scratch(_meetings(shown).join(held.where("rest").drop("block").hint("merge"), ["leader", "id"]))
     many = F.ceil(F.sum(F.length("shingles") / 8) / F.first("size"))
     parted = c.scratch(rest.groupBy("leader", F.col("to").alias("block")).agg(many.alias("subs")))
     key = (F.col("block") * (1 << 24) + F.col("sub")).alias("block")

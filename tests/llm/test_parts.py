@@ -181,6 +181,28 @@ def test_group_of_unlinked(spark, monkeypatch):
     assert len(seen) == 2 and seen[0][0] > 10 and seen[0][1] < 2 * 6000 and seen[1] == (0, None)
 
 
+def test_meetings(spark):
+    """The other blocks where partners are, against all pairs; a row meets a block once, whatever they share."""
+    rng = random.Random(5)
+    rows = [("g", rng.randrange(12), i, i % 3 > 0, s % 2 > 0, s) for i in range(150) for s in [*rng.sample(range(40), 12), 99]]
+    block = {i: b for _, b, i, _, _, _ in rows}
+    rows = [("g", block[i], i, rest, shown, s) for _, _, i, rest, shown, s in rows]
+    found = near_dup._meetings(spark.createDataFrame(rows, "leader string, block long, id long, rest boolean, shown boolean, shingle long"))
+    want = {(x[2], y[1]) for x in rows for y in rows if x[3] and x[5] == y[5] and (x[4] or y[4]) and x[1] != y[1]}
+    assert sorted((r["id"], r["to"]) for r in found.collect()) == sorted(want)
+    made, left = [], [found._jdf.queryExecution().executedPlan()]
+    while left:
+        plan = left.pop()
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            plan = plan.executedPlan()
+        if plan.nodeName().endswith("QueryStage"):
+            plan = plan.plan()
+        if plan.nodeName() == "Generate":
+            made.append(plan.metrics().apply("numOutputRows").value())
+        left += [plan.children().apply(i) for i in range(plan.children().size())]
+    assert made == [len(want)]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(400 + i, 401 + i) for i in range(40)]
