@@ -428,6 +428,46 @@ def test_recall_by_edits(spark):
     assert all(share[k] >= least[k] for k in least), share
 
 
+def test_partners_of_led_seeds(spark):
+    """Edited passages each seed of which an earlier document leads that has no passage of it, held by few documents and
+    by many; copies of one are linked to its least id, and a short line that all have links nobody."""
+    rng = random.Random(21)
+    body = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    line, docs, want, k = body(20), [], set(), 0
+    for _ in range(6):
+        p = body(60)
+        q = list(p)
+        for at in range(9, 60, 10):
+            q[at] = body(1)[0]
+        # the earlier documents quote 20 words each: every seed is led by one of them
+        for at in range(0, 60, 12):
+            docs.append((k := k + 1, body(30) + p[at : at + 20] + body(30)))
+        first, second = (k := k + 1), (k := k + 1)
+        docs += [(first, body(20) + p + body(20)), (second, body(50) + q + body(5))]
+        want.add((second, first))
+    for _ in range(40):
+        docs.append((k := k + 1, body(70) + line + body(70)))
+    found = substring_dup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")).collect()
+    assert {(r["id"], r["leader"]) for r in found} == want
+    assert all(r["start"] >= 50 and r["end"] <= 110 and r["end"] - r["start"] >= 45 for r in found)
+
+
+def test_partners_at_every_context(spark):
+    """A line of 30 words that many documents have: those that have 20 more alike after it are linked, whoever leads it."""
+    rng = random.Random(22)
+    body = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    line, docs, want = body(30), [], set()
+    for i in range(1, 31):
+        docs.append((i, body(70) + line + body(70)))
+    for i in range(31, 61, 3):
+        more = body(20)
+        docs += [(i, body(70) + line + more + body(70)), (i + 1, body(80) + line + more + body(65)), (i + 2, body(9) + line + more + body(40))]
+        want |= {(i + 1, i), (i + 2, i)}
+    found = substring_dup.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")).collect()
+    got = {(r["id"], r["leader"]) for r in found}
+    assert want <= got and all(r["end"] - r["start"] == 50 for r in found) and all((i - 31) // 3 == (j - 31) // 3 for i, j in got)
+
+
 def test_matched():
     assert substring_dup.matched(np.array([1, 2, 3, 4]), np.array([2, 9, 4])) == 2
     assert substring_dup.matched(np.array([1]), np.array([2])) == 0
