@@ -468,6 +468,29 @@ def test_partners_at_every_context(spark):
     assert want <= got and all(r["end"] - r["start"] == 50 for r in found) and all((i - 31) // 3 == (j - 31) // 3 for i, j in got)
 
 
+def test_partners_are_not_pairs(spark, monkeypatch):
+    """Documents that share two runs of a word each, between which all have their own words: no pair of them becomes a row."""
+    docs = [(i, " ".join([f"a{i}"] * 20 + ["the"] * 24 + [f"b{i}"] * 22 + ["of"] * 21 + [f"c{i}"] * 20)) for i in range(40)]
+    seen, compared = [], substring_dup._compared
+
+    def spy(texts, links):
+        seen.append(links.select("id", "leader").distinct().count())
+        return compared(texts, links)
+
+    monkeypatch.setattr(substring_dup, "_compared", spy)
+    assert not substring_dup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert seen == [39, 0]
+
+
+def test_reaches():
+    """Shared runs far apart are no passage if too few of the words between are in both texts."""
+    text = lambda *runs: np.array([w for w, n in runs for _ in range(n)], "<u4")
+    own = text((1, 20), (2, 40), (3, 20))
+    assert not substring_dup.Target(text((1, 20), (4, 40), (3, 20))).reaches(own)
+    for other in (text((1, 20), (4, 8), (2, 40)), text((5, 9), (2, 30), (3, 20)), own):
+        assert substring_dup.Target(other).reaches(own) and substring_dup.passages(own, substring_dup.Target(other))
+
+
 def test_matched():
     assert substring_dup.matched(np.array([1, 2, 3, 4]), np.array([2, 9, 4])) == 2
     assert substring_dup.matched(np.array([1]), np.array([2])) == 0
