@@ -259,7 +259,12 @@ def _with_sets(docs: DataFrame, places: DataFrame, k: int, table: np.ndarray) ->
 
 
 def _group_counts(held: DataFrame) -> DataFrame:
-    """(leader, shingle, n, docs): in how many of a group's docs rows each shingle is. Each batch sends its sums."""
+    """(leader, shingle, n, docs): in how many of a group's docs rows each shingle is, counted where one row in COMMON of a
+    batch has it.
+
+    What one in COMMON of all rows have, one in COMMON of some batch's rows have. So each batch sends COMMON times a
+    row's shingles at most, however large the group; n is too small for what is rare in some batches.
+    """
     kind, arrow = c.id_column(held, "leader")[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,6 +274,7 @@ def _group_counts(held: DataFrame) -> DataFrame:
                 by.setdefault(tuple(key), []).append(np.frombuffer(raw, np.int64))
             for (leader, docs), own in by.items():
                 h, n = np.unique(np.concatenate(own), return_counts=True)
+                h, n = h[n * COMMON >= len(own)], n[n * COMMON >= len(own)]
                 yield pa.RecordBatch.from_arrays([pa.array([leader] * len(h), arrow), pa.array(h), pa.array(n), pa.array([docs] * len(h), pa.int64())], ["leader", "shingle", "n", "docs"])
 
     c.tune(held.sparkSession)

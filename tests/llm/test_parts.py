@@ -181,6 +181,13 @@ def test_group_of_unlinked(spark, monkeypatch):
     assert len(seen) == 2 and seen[0][0] > 10 and seen[0][1] < 2 * 6000 and seen[1] == (0, None)
 
 
+def test_group_counts(spark):
+    """Shingles that few of a group's rows have are no rows; what many have is counted whole."""
+    rows = [("g", 200, np.array([*range(50), *range(1000 * i, 1000 * i + 50)], np.int64).tobytes()) for i in range(1, 201)]
+    found = near_dup._group_counts(spark.createDataFrame(rows, "leader string, docs long, shingles binary").coalesce(2)).collect()
+    assert sorted((r["shingle"], r["n"], r["docs"]) for r in found) == [(s, 200, 200) for s in range(50)]
+
+
 def test_meetings(spark):
     """The other blocks where partners are, against all pairs; a row meets a block once, whatever they share."""
     rng = random.Random(5)
