@@ -498,6 +498,32 @@ def test_reaches():
         assert substring_dup.Target(other).reaches(own) and substring_dup.passages(own, substring_dup.Target(other))
 
 
+def test_equal_stretches_are_compared_once(monkeypatch):
+    """Holders of one word over and over, 40 or 50 times between words of their own: each two lengths are compared once."""
+    calls, passages = [], substring_dup.passages
+    monkeypatch.setattr(substring_dup, "passages", lambda own, target: calls.append(1) or passages(own, target))
+    pack = lambda *x: np.array(x, "<i4").tobytes()
+    g = []
+    for i in range(30):
+        n = 40 + 10 * (i % 2)
+        words = np.array([*range(1000 * i + 10, 1000 * i + 40), *[1] * n, *range(1000 * i + 50, 1000 * i + 80)], "<u4")
+        g.append(substring_dup._Holder(0, i, pack(40), pack(40), pack(0), pack(len(words)), words.tobytes()))
+    found = list(substring_dup._partners_within(g, {}))
+    assert len(calls) <= 4
+    assert {x[0] for x in found} == set(range(3, 30, 2)) and all(x[2] == 40 and x[1] % 2 for x in found)
+
+
+def test_whole_and_in_order():
+    """Texts wholly in another, and the most words in order, against brute force."""
+    rng = np.random.default_rng(5)
+    for _ in range(100):
+        own, there = (rng.integers(0, 3, rng.integers(1, n)).astype("<u4") for n in (5, 40))
+        target = substring_dup.Target(there)
+        places = [j for j in range(len(there) - len(own) + 1) if (there[j : j + len(own)] == own).all()]
+        assert target.whole(own) == (places[0] if places else -1)
+        assert target.in_order(own) == substring_dup.matched(own, there)
+
+
 def test_matched():
     assert substring_dup.matched(np.array([1, 2, 3, 4]), np.array([2, 9, 4])) == 2
     assert substring_dup.matched(np.array([1]), np.array([2])) == 0
