@@ -513,6 +513,39 @@ def test_equal_stretches_are_compared_once(monkeypatch):
     assert {x[0] for x in found} == set(range(3, 30, 2)) and all(x[2] == 40 and x[1] % 2 for x in found)
 
 
+def test_dense_at():
+    """Against all stretches around a seed; a seed alone is none."""
+    rng, k = np.random.default_rng(6), substring_dup.K
+    for _ in range(200):
+        shared = rng.random(rng.integers(5, 90)) < rng.choice([0.5, 0.8, 0.9])
+        at = np.arange(len(shared) - k + 1)
+        sums = np.concatenate(([0], np.cumsum(shared)))
+        fits = lambda p: any(sums[e] - sums[s] >= 0.8 * max(e - s, 45) - 1e-6 for s in range(p + 1) for e in range(p + k, len(shared) + 1))  # noqa: E731, B023
+        assert substring_dup._dense_at(shared, at).tolist() == [fits(p) for p in at.tolist()]
+    assert not substring_dup._dense_at(np.arange(60) // 20 == 1, np.array([25])).any()
+
+
+def test_places_of_a_stretch_have_few_keys(monkeypatch):
+    """A seed's many places in one stretch of a word over and over don't each give a key for each gram around them."""
+    sizes, mix = [], common.mix
+    monkeypatch.setattr(common, "mix", lambda x: sizes.append(len(x)) or mix(x))
+    pack = lambda *x: np.array(x, "<i4").tobytes()
+    g = []
+    for i in range(4):
+        words = np.array([*range(1000 * i + 10, 1000 * i + 40), *[1] * 60, *range(1000 * i + 50, 1000 * i + 80)], "<u4")
+        places = pack(*range(30, 86))
+        g.append(substring_dup._Holder(0, i, places, places, pack(0), pack(len(words)), words.tobytes()))
+    found = list(substring_dup._partners_within(g, {}))
+    assert max(sizes) <= 2 * sum(len(x.words) for x in g)
+    assert {(x[0], x[2]) for x in found} == {(i, p) for i in (1, 2, 3) for p in range(30, 86)}
+
+
+def test_seeds_without_places(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k * k + k) % 37}" for k in range(120))) for i in range(5)], "id long, text string")
+    bare = substring_dup._seeds(docs, placed=False)
+    assert bare.columns == ["id", "h"] and sorted(bare.collect()) == sorted(substring_dup._seeds(docs).select("id", "h").collect())
+
+
 def test_whole_and_in_order():
     """Texts wholly in another, and the most words in order, against brute force."""
     rng = np.random.default_rng(5)
